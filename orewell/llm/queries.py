@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, rules
 from ..session import table as _table
 
 
@@ -13,8 +14,22 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import line_rules
+
+    return line_rules(_table(spark, sf_dir, "documents")).drop("text_hash", "removed")
+
+
+def op4_mix_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_mix_by_raking": op4_mix_by_raking,
+    "op9_line_frequency_rules": op9_line_frequency_rules,
     "op1_secret_scan": op1_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mix_by_raking": mixing.SQL, "op9_line_frequency_rules": rules.SQL}
