@@ -26,7 +26,21 @@ def op4_mix_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import document_languages
+
+    return document_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_quality_neighbours": op3_quality_neighbours,
+    "op8_language_viterbi": op8_language_viterbi,
     "op4_mix_by_raking": op4_mix_by_raking,
     "op9_line_frequency_rules": op9_line_frequency_rules,
     "op1_secret_scan": op1_secret_scan,
