@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules
+from . import mixing, rules, topk
 from ..session import table as _table
 
 
@@ -38,7 +38,14 @@ def op8_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import nearest_products
+
+    return nearest_products(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op7_pivot_top_k": op7_pivot_top_k,
     "op3_quality_neighbours": op3_quality_neighbours,
     "op8_language_viterbi": op8_language_viterbi,
     "op4_mix_by_raking": op4_mix_by_raking,
@@ -46,4 +53,4 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mix_by_raking": mixing.SQL, "op9_line_frequency_rules": rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mix_by_raking": mixing.SQL, "op7_pivot_top_k": topk.SQL, "op9_line_frequency_rules": rules.SQL}
