@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import tempfile
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -70,46 +74,58 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list, list], Iterable[d
     return df.select(key, text).mapInArrow(run, schema)
 
 
-class PieceEncoder:
-    """Token ids of whole texts by the ``tokenizers`` library, with a memory for repeated pieces.
+class Memo(dict):
+    """Ids of pre-tokens by the vocabulary's own model, as bytes; computed when first asked for."""
+
+    def __init__(self, model, table: dict[int, int]):
+        self.model, self.table = model, table
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
 
-    A text is cut before spaces. Both vocabularies split words there anyway, so the ids of the pieces, one after another, are the
-    ids of the text; texts where a run of white space could straddle a cut are encoded whole. The memory has a fixed bound.
-    """
 
-    STRADDLES = re.compile(r"\s (?:\s|\Z)")
+class TextEncoder:
+    """Token ids of whole texts by the ``tokenizers`` library.
 
-    def __init__(self, path: str, spaced: bool, bound: int = 300_000):
-        import os
+    Texts of Latin characters are cut into pre-tokens by the vocabulary's pattern, and the library's model is asked once for each different
+    pre-token, as words repeat (up to a fixed bound of remembered ones). Any other text goes through the library's whole pipeline. The ids
+    are the same either way; tests compare them.
+    """
 
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced, self.bound, self.known = spaced, bound, {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        import array
-
-        return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        latin = [chr(c) for c in range(0x250)]
+        kind = lambda k: "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == k)
+        letter, number, space = kind("L"), kind("N"), "\\t-\\r \x85\xa0"
+        short = "'s|'t|'re|'ve|'m|'ll|'d"
+        if self.lower:  # words, single digits, runs of other characters; white space is dropped
+            self.find = re.compile(f"[{letter}]+|{short}|[{number}]|[^{space}{letter}{number}]+").findall
+        else:  # the same with a leading space, runs of digits, and white space but for the space before a word
+            self.find = re.compile(f" ?[{letter}]+|{short}| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.other = re.compile("[^\x00-\x1b\x20-\u024f]").search
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.table = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.bound, self.memo = bound, Memo(self.tok.model, self.table)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
+        out = []
         for x in texts:
             if not x:
-                cut.append([])
-            elif self.spaced and " " in x and self.STRADDLES.search(x):
-                cut.append(None)
+                out.append(b"")
+            elif self.other(x):
+                out.append(array("I", self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes())
             else:
-                head, *rest = x.split(" ")
-                cut.append([head, *([" " + p for p in rest] if self.spaced else rest)])
-        if len(self.known) > self.bound:
-            self.known = {}
-        known = self.known
-        new = list({p for c in cut if c for p in c if p not in known})
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
-        get = known.__getitem__
-        return [self._ids([x])[0] if c is None else b"".join(map(get, c)) for x, c in zip(texts, cut, strict=True)]
+                out.append(b"".join(map(self.memo.__getitem__, self.find(x.lower() if self.lower else x))))
+                if len(self.memo) > self.bound:
+                    self.memo.clear()
+        return out

@@ -44,7 +44,21 @@ def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import written_documents
+
+    return written_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_pattern_packing": op5_pattern_packing,
+    "op6_rans_token_files": op6_rans_token_files,
     "op7_pivot_top_k": op7_pivot_top_k,
     "op3_quality_neighbours": op3_quality_neighbours,
     "op8_language_viterbi": op8_language_viterbi,
