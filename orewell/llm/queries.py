@@ -56,7 +56,14 @@ def op6_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_dart_minhash": op2_dart_minhash,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_rans_token_files": op6_rans_token_files,
     "op7_pivot_top_k": op7_pivot_top_k,
