@@ -62,7 +62,14 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_gear_chunks": op10_gear_chunks,
     "op2_dart_minhash": op2_dart_minhash,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_rans_token_files": op6_rans_token_files,
