@@ -16,7 +16,7 @@ ORACLE_SQL: dict[str, str] = {}
 VIEWS = {
     "v_files": """SELECT source AS scan_id, doc_id,
         CASE doc_id % 8 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'src/components/' WHEN 2 THEN 'src/db/' WHEN 3 THEN 'tests/' WHEN 4 THEN 'docs/' WHEN 5 THEN 'node_modules/x/' WHEN 6 THEN 'src/lib/' ELSE 'src/workers/' END
-        || CASE doc_id % 11 WHEN 3 THEN 'Dockerfile' WHEN 4 THEN 'package' WHEN 5 THEN 'app.test' ELSE 'f' || CAST(doc_id AS STRING) END
+        || CASE doc_id % 11 WHEN 3 THEN 'd' || CAST(doc_id AS STRING) || '/Dockerfile' WHEN 4 THEN 'd' || CAST(doc_id AS STRING) || '/package' WHEN 5 THEN 'd' || CAST(doc_id AS STRING) || '/app.test' ELSE 'f' || CAST(doc_id AS STRING) END
         || CASE WHEN doc_id % 11 = 3 THEN '' ELSE CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.md' ELSE '.json' END END AS path,
         text AS content, n_chars AS size FROM documents""",
     "v_raw_findings": """SELECT event_id AS raw_id, user_id AS scan_id, event_id % 8 AS agent_ord,
