@@ -56,7 +56,7 @@ class Shingler:
         if len(self.known) > self.bound:
             self.known = {}
         known = self.known
-        for w in set(found) - known.keys():
+        for w in [w for w in set(found) if w not in known]:
             known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
