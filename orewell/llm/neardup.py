@@ -6,10 +6,11 @@ signature. A dart beyond the element's weight misses. The signature keeps the ea
 coordinate with the probability of their weighted Jaccard similarity. About k log k darts fill k coordinates, however many elements there are.
 
 Signatures are cut into bands; documents that agree on a band are candidates. In each bucket one leader is compared with the other members
-by the exact similarity of their shingles. Members that the links so far have joined need no further comparison; for the rest the next leader
-follows, until a bucket's members are of one class or the pairs left are no more than the rows of the buckets, and then those pairs are all
-compared. So no group of copies is expanded into pairs, and no candidate pair of different classes is left out. Texts with the same words in the
-same order are one node from the start.
+by the exact similarity of their shingles. Members that the links so far have joined need no further comparison, nor do pairs whose sizes rule
+the similarity out. For the rest more leaders follow, four times as many in each round, until a bucket's members are of one class or the pairs
+left are no more than a few for each row of the buckets, and then those are all compared. So a group of copies is not expanded into pairs, no
+candidate pair of different classes is left out, and the number of rounds is the logarithm of the largest bucket's.
+Texts with the same words in the same order are one node from the start.
 
 With BANDS bands of ROWS coordinates a pair of similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 3e-6. Production weights are 1 for
 each different shingle, so the similarity is that of shingle sets; ``weights="count"`` weighs by occurrences.
@@ -128,7 +129,7 @@ def _weighted(s: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame, weights: str = "set", size: int = WORDS, k: int = K, rows: int = ROWS) -> DataFrame:
-    """doc_id, ``node`` (hash of the words in order; null for a null text), ``bands``."""
+    """doc_id, ``node`` (hash of the words in order; null for a null text), ``size`` (its weight in all), ``bands``."""
 
     def make():
         shingler = Shingler(size)
@@ -140,11 +141,11 @@ def nodes(docs: DataFrame, weights: str = "set", size: int = WORDS, k: int = K,
             sig = signatures(owner, np.concatenate([v for v, _ in sets]), np.concatenate([w for _, w in sets]), len(texts), k)
             node = [None if x is None else int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) for x, h in zip(texts, hashes, strict=True)]
             held = bands(sig, rows)
-            return {"doc_id": keys, "node": node, "bands": [b if len(h) else [] for b, h in zip(held.tolist(), hashes, strict=True)]}
+            return {"doc_id": keys, "node": node, "size": [float(w.sum()) for _, w in sets], "bands": [b if len(h) else [] for b, h in zip(held.tolist(), hashes, strict=True)]}
 
         return run
 
-    return map_text(docs, make, "doc_id long, node long, bands array<long>")
+    return map_text(docs, make, "doc_id long, node long, size double, bands array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -170,43 +171,42 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
-def links(buckets: DataFrame, sets_of, least: float, rounds: int = 12) -> DataFrame | None:
-    """Verified links (a, b) that join what ``buckets`` (bk, node) make candidates and the similarity joins; None if there are none."""
+def links(buckets: DataFrame, sets_of, least: float) -> DataFrame | None:
+    """Verified links (a, b) that join what ``buckets`` (bk, node, size) make candidates and the similarity joins; None if there are none."""
     weight = buckets.join(buckets.groupBy("bk").agg(F.count("*").alias("n")), "bk").groupBy("node").agg(F.sum("n").alias("seen"))
-    open_ = stage(buckets.join(weight, "node").select("bk", "node", "seen"))
+    open_ = stage(buckets.join(weight, "node").select("bk", "node", "size", "seen"))
     sets = sets_of(open_.select("node").distinct())
     found: DataFrame | None = None
-    for turn in range(rounds):
+    leaders = 1
+    while True:
         if found is not None:
             roots = components(found)
             open_ = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
             open_ = open_.withColumn("root", F.col("node"))
         # Buckets whose members are of more than one class by now; the leader that most documents meet is the likely original.
-        lead = open_.groupBy("bk").agg(F.max(F.struct("seen", "node", "root")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        lead = lead.select("bk", F.col("x.node").alias("leader"), F.col("x.root").alias("leader_root"), "n")
-        now = stage(open_.join(lead, "bk"))
-        rows, by_pairs = now.agg(F.count("*"), F.sum(F.when(F.col("node") == F.col("leader"), F.col("n") * F.col("n") / 2))).first()
+        lead = open_.groupBy("bk").agg(F.max(F.struct("seen", "node")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        chosen = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node"), F.col("n")) < leaders - 1)
+        now = stage(open_.join(lead.select("bk", F.col("x.node").alias("first"), "n"), "bk").withColumn("leads", chosen))
+        rows, by_pairs = now.agg(F.count("*"), F.sum(F.when(F.col("node") == F.col("first"), F.col("n") * F.col("n") / 2))).first()
         if not rows:
             return found
-        last = by_pairs <= 4 * rows
-        if last:  # few enough: all pairs of different classes
-            other = now.select("bk", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = now.select("bk", F.col("node").alias("a"), "root").join(other, "bk").where("a < b and root <> root_b").select("a", "b").distinct()
-        else:
-            pairs = now.where("root <> leader_root").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        last = by_pairs <= 4 * rows  # few enough: all pairs of different classes
+        left = now.where(F.lit(last) | F.col("leads")).select("bk", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+        pairs = left.join(now, "bk").where((F.col("root") != F.col("root_a")) & (F.least("size", "size_a") >= least * F.greatest("size", "size_a") - 1e-9))
+        pairs = pairs.where("a < node" if last else "not leads or a < node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = stage(verified(pairs, sets, least))
         found = more if found is None else stage(found.union(more))
         if last:
             return found
-        open_ = now.where("node <> leader").select("bk", "node", "seen", "root")
-    raise RuntimeError(f"buckets are left after {rounds} rounds")
+        open_ = now.where("not leads").select("bk", "node", "size", "seen", "root")
+        leaders *= 4
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, weights: str = "set", size: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each input row: doc_id, class_id (the least id of its class), class_size."""
     seen = stage(nodes(docs, weights, size, n_bands * rows, rows))
-    buckets = seen.select("node", F.explode("bands").alias("bk")).where(F.col("node").isNotNull()).distinct()
+    buckets = seen.select("node", "size", F.explode("bands").alias("bk")).where(F.col("node").isNotNull()).distinct()
     shared = buckets.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk")
     buckets = stage(buckets.join(shared, "bk"))
 
