@@ -26,11 +26,11 @@ def with_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def report(packages: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Per scan: direct and vulnerable packages, worst severity."""
+    """Per scan: direct and vulnerable packages, worst severity (null without a vulnerable one)."""
     own = one_each(packages)
     hit = with_advisories(own, advisories).groupBy("scan_id", "ecosystem", "name").agg(F.min(severity_ord(F.col("severity"))).alias("sev"))
     j = own.join(hit, ["scan_id", "ecosystem", "name"], "left")
-    return j.groupBy("scan_id").agg(F.count("*").alias("packages"), F.count_if(~F.col("dev")).alias("runtime"), F.count("sev").alias("vulnerable"), severity_of(F.min("sev")).alias("worst"))
+    return j.groupBy("scan_id").agg(F.count("*").alias("packages"), F.count_if(~F.col("dev")).alias("runtime"), F.count("sev").alias("vulnerable"), F.when(F.min("sev").isNotNull(), severity_of(F.min("sev"))).alias("worst"))
 
 
 def manifest_npm(files: DataFrame) -> DataFrame:
