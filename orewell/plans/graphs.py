@@ -1 +1,31 @@
-"""Queries."""
+"""Queries over module graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import graph as G
+from .registry import Tables, query
+
+LAYERS = [("ui-to-data", "^src/components/", "^src/db/"), ("domain-to-http", "^src/domain/", "^src/http/"), ("data-to-app", "^src/db/", "^src/app/")]
+
+
+@query("SELECT node, count(DISTINCT src) AS importers FROM v_modules LEFT JOIN v_edges ON dst = node AND src <> dst GROUP BY node")
+def join_imported_by(t: Tables) -> DataFrame:
+    return G.imported_by(t.v_modules, t.v_edges)
+
+
+@query("SELECT src, dst FROM v_edges WHERE dst NOT IN (SELECT node FROM v_modules)")
+def join_dangling(t: Tables) -> DataFrame:
+    return G.dangling(t.v_modules, t.v_edges)
+
+
+@query(f"""SELECT src, dst, r.rule FROM v_edges JOIN v_modules a ON src = a.node JOIN v_modules b ON dst = b.node
+    JOIN (VALUES {', '.join(map(str, LAYERS))}) r(rule, x, y) ON regexp_matches(a.path, x) AND regexp_matches(b.path, y)""")
+def join_layer_violation(t: Tables) -> DataFrame:
+    return G.layer_violations(t.v_modules, t.v_edges, LAYERS)
+
+
+@query("""WITH RECURSIVE w(node) AS (SELECT node FROM v_modules WHERE is_entry UNION SELECT dst FROM w JOIN v_edges ON src = w.node JOIN v_modules m ON m.node = dst) SELECT node FROM w""")
+def grf_reachable(t: Tables) -> DataFrame:
+    return G.reachable(t.v_modules, t.v_edges).select("node")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,16 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back, which cuts its lineage; only a local session without one gets a local folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-orewell-")
+    path = f"{root}/orewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
