@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import severity_of, severity_ord
 from ..session import staged
 
 
@@ -40,3 +41,103 @@ def reachable(modules: DataFrame, edges: DataFrame, is_entry: str = "is_entry")
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+
+
+def imports(lines: DataFrame) -> DataFrame:
+    """Lines (scan_id, path, line_no, line) to import references: ``target`` and ``symbols``, for script and Python forms. Lines over 400 characters name nothing."""
+    l = F.col("line")
+    script = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"""\bfrom\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""")])
+    python = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import\b", r"^\s*import\s+([\w.]+)")])
+    named = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"\{([^}]*)\}", r"^\s*from\s+[\w.]+\s+import\s+\(?([^)#]+)", r"^\s*import\s+(\w+)\s+from\b")])
+    symbols = F.filter(F.transform(F.split(F.coalesce(named, F.lit("")), ","), lambda x: F.trim(F.regexp_replace(x, r"(?i)\s+as\s+.*$|^\s*type\s+", ""))), lambda x: x != "")
+    target = F.when(F.col("path").endswith(".py"), python).otherwise(script)
+    return lines.where(F.length(l) <= 400).select("scan_id", "path", "line_no", target.alias("target"), symbols.alias("symbols")).where("target is not null")
+
+
+def exports(lines: DataFrame) -> DataFrame:
+    """Exported symbols, one row for each (scan, path, symbol): ``export`` declarations, and public top-level functions and classes of Python files."""
+    l = F.col("line")
+    script = F.regexp_extract(l, r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)", 1)
+    python = F.regexp_extract(l, r"^(?:async\s+)?(?:def|class)\s+([A-Za-z]\w*)", 1)
+    return lines.select("scan_id", "path", F.when(F.col("path").endswith(".py"), python).otherwise(script).alias("symbol")).where("symbol <> ''").distinct()
+
+
+def degrees(modules: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per module its different sources (``n_in``) and targets (``n_out``)."""
+    own = edges.where("src <> dst").distinct()
+    # One grouping for both directions.
+    ends = own.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e")).select("e.*")
+    n = ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+    return modules.select("node").join(n, "node", "left").select("node", F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"))
+
+
+def large_modules(modules: DataFrame, loc: int = 500, n_exports: int = 12, top: int = 4, high: int = 1000) -> DataFrame:
+    """The ``top`` modules by lines among those with many lines and many exports; ties to the smaller node."""
+    big = modules.where((F.col("loc") > loc) & (F.col("n_exports") >= n_exports)).orderBy(F.desc("loc"), "node").limit(top)
+    return big.select("node", "loc", "n_exports", F.when(F.col("loc") > high, "high").otherwise("medium").alias("severity"))
+
+
+def component(path: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:
+    """The name of the first rule (name, pattern) that matches the path."""
+    out = F.lit(other)
+    for name, pattern in reversed(rules):
+        out = F.when(path.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def collapse(modules: DataFrame, edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Import edges between different components: ``from``, ``to``, ``weight``."""
+    named = modules.select("node", component(F.col("path"), rules).alias("c"))
+    a, b = named.select(F.col("node").alias("src"), F.col("c").alias("from")), named.select(F.col("node").alias("dst"), F.col("c").alias("to"))
+    return edges.join(a, "src").join(b, "dst").where(F.col("from") != F.col("to")).groupBy("from", "to").agg(F.count("*").alias("weight"))
+
+
+def component_risk(findings: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Per component its live findings and their worst severity; dismissed ones do not count."""
+    live = findings.where("validation <> 'dismissed'").withColumn("component", component(F.col("path"), rules))
+    return live.groupBy("component").agg(F.count("*").alias("findings"), severity_of(F.min(severity_ord(F.col("severity")))).alias("worst"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges that lie on no cycle because an end has no way in or no way out; repeated until none goes."""
+    n = edges.count()
+    while n:
+        ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = staged(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """``node``, ``cycle``: strongly connected components of two nodes or more, named by their least node.
+
+    Each round trims what cannot lie on a cycle, gives every node the least node that reaches it, and walks back from those least nodes inside
+    their own colour: what is met is the component. Every colour gives one component in a round. All rounds are joins, cut by written tables.
+    """
+    live, found = _trimmed(staged(edges.where("src <> dst").select("src", "dst").distinct())), None
+    while not live.isEmpty():
+        colour = staged(live.select(F.col("src").alias("node")).union(live.select(F.col("dst").alias("node"))).distinct().withColumn("cycle", F.col("node")))
+        while True:
+            seen = live.join(colour.select(F.col("node").alias("src"), "cycle"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("cycle").alias("least"))
+            new = staged(colour.join(seen, "node", "left").select("node", F.col("cycle").alias("old"), F.least("cycle", "least").alias("cycle")))
+            colour = new.select("node", "cycle")
+            if new.where("old <> cycle").isEmpty():
+                break
+        a, b = colour.select(F.col("node").alias("src"), "cycle"), colour.select(F.col("node").alias("dst"), F.col("cycle").alias("c"))
+        inside = staged(live.join(a, "src").join(b, "dst").where("cycle = c").select("src", "dst", "cycle"))
+        met = front = staged(colour.where("node = cycle"))
+        while True:
+            back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "cycle").distinct()
+            front = staged(back.join(met, "node", "left_anti"))
+            if front.isEmpty():
+                break
+            met = staged(met.unionByName(front))
+        found = met if found is None else found.unionByName(met)
+        rest = live.join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = _trimmed(staged(rest.select("src", "dst")))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    sizes = found.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(sizes, "cycle").select("node", "cycle")

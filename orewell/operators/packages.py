@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import trimmed
 from ..functions.scores import severity_of, severity_ord
 from ..functions.versions import clean_version, semver
 
@@ -44,7 +45,7 @@ def manifest_npm(files: DataFrame) -> DataFrame:
 
 def manifest_pip(files: DataFrame) -> DataFrame:
     """requirements.txt lines; without an operator the version is null; development files by their path."""
-    line = files.select("scan_id", "path", F.explode(F.split("content", "\n")).alias("l")).withColumn("l", F.trim(F.regexp_replace("l", r"#.*$", "")))
+    line = files.select("scan_id", "path", F.explode(F.split("content", "\n")).alias("l")).withColumn("l", trimmed(F.regexp_replace("l", r"#.*$", "")))
     line = line.where((F.col("l") != "") & ~F.col("l").startswith("-"))
     name = F.lower(F.regexp_extract("l", r"^([A-Za-z0-9._-]+)", 1))
     return line.select("scan_id", "path", name.alias("name"), F.nullif(F.regexp_extract("l", r"(?:==|>=|<=|~=|!=|>|<)\s*([0-9][^,; ]*)", 1), F.lit("")).alias("version"), F.col("path").rlike(r"(?i)(dev|test)").alias("dev")).where("name <> ''")
@@ -52,7 +53,7 @@ def manifest_pip(files: DataFrame) -> DataFrame:
 
 def manifest_go(files: DataFrame) -> DataFrame:
     """go.mod requirements, in a block or single; ``direct`` is false for those marked indirect."""
-    rows = _numbered(files).withColumn("l", F.trim("l"))
+    rows = _numbered(files).withColumn("l", trimmed(F.col("l")))
     block = F.when(F.col("l").rlike(r"^require\s*\("), True).when(F.col("l").startswith(")"), False)
     rows = rows.withColumn("inside", F.coalesce(F.last(block, True).over(_upto()), F.lit(False)))
     bare = F.regexp_replace("l", r"^require\s+", "")
@@ -62,13 +63,27 @@ def manifest_go(files: DataFrame) -> DataFrame:
 
 def manifest_toml(files: DataFrame) -> DataFrame:
     """pyproject.toml and Cargo.toml: the lines under headers that name dependencies."""
-    rows = _numbered(files).withColumn("l", F.trim("l"))
+    rows = _numbered(files).withColumn("l", trimmed(F.col("l")))
     rows = rows.withColumn("section", F.last(F.nullif(F.regexp_extract("l", r"^\[+([^\]]+)\]+", 1), F.lit("")), True).over(_upto()))
     rows = rows.where(F.col("section").rlike("(?i)dependencies") & F.col("l").rlike(r"^[A-Za-z0-9_-]+\s*="))
     version = F.coalesce(F.nullif(F.regexp_extract("l", r'version\s*=\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("l", r'=\s*"([^"]+)"', 1), F.lit("")))
     return rows.select("scan_id", "path", F.regexp_extract("l", r"^([A-Za-z0-9_-]+)", 1).alias("name"), version.alias("version"), F.col("section").rlike("(?i)dev").alias("dev"))
 
 
+def manifests(files: DataFrame) -> DataFrame:
+    """Every manifest of ``files``, read by its base name: scan_id, path, ecosystem, name, version, dev, direct."""
+    base = F.substring_index("path", "/", -1)
+    readers = (("npm", base == "package.json", manifest_npm), ("pypi", base.rlike(r"^requirements.*\.txt$"), manifest_pip), ("go", base == "go.mod", manifest_go), ("pypi", base == "pyproject.toml", manifest_toml), ("crates", base == "Cargo.toml", manifest_toml))
+    out = None
+    for ecosystem, own, read in readers:
+        rows = read(files.where(own))
+        direct = F.col("direct") if "direct" in rows.columns else F.lit(True)
+        dev = F.col("dev") if "dev" in rows.columns else F.lit(False)
+        rows = rows.select("scan_id", "path", F.lit(ecosystem).alias("ecosystem"), "name", "version", dev.alias("dev"), direct.alias("direct"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _numbered(files: DataFrame) -> DataFrame:
     return files.select("scan_id", "path", F.posexplode(F.split("content", "\n")).alias("no", "l"))
 

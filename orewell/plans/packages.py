@@ -99,3 +99,42 @@ def det_deps(t: Tables) -> DataFrame:
     """Loosely pinned runtime packages that no advisory names."""
     own = K.one_each(t.v_packages).where(~F.col("dev") & F.col("version").rlike(r"^[~^]"))
     return own.join(t.v_advisories.select("name"), "name", "left_anti").select("scan_id", "name", "ecosystem")
+
+
+def _manifest_lines(t: Tables, line, head: str = "", tail: str = "", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """Manifests made of the packages table: a scan's packages, a line each."""
+    own = K.one_each(t.v_packages).withColumn("cv", V.clean_version(F.col("version")))
+    return own.groupBy(*by).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit(tail)).alias("content"))
+
+
+@query(f"WITH {PACK} SELECT scan_id, name, version, dev FROM o WHERE ecosystem = 'npm'")
+def man_npm(t: Tables) -> DataFrame:
+    pair = F.struct("name", "version")
+    held = lambda dev, name: F.map_from_entries(F.collect_list(F.when(F.col("dev") == dev, pair))).alias(name)
+    own = K.one_each(t.v_packages).where("ecosystem = 'npm'").groupBy("scan_id").agg(held(False, "dependencies"), held(True, "devDependencies"))
+    files = own.select("scan_id", F.lit("package.json").alias("path"), F.to_json(F.struct("dependencies", "devDependencies")).alias("content"))
+    return K.manifest_npm(files).select("scan_id", "name", "version", "dev")
+
+
+@query(f"WITH {PACK} SELECT scan_id, name, cv AS version, dev FROM o WHERE regexp_matches(cv, '^[0-9]') GROUP BY ALL")
+def man_pip(t: Tables) -> DataFrame:
+    files = _manifest_lines(t, F.concat("name", F.lit("=="), "cv", F.lit("  # pinned")), by=("scan_id", "dev"))
+    files = files.select("scan_id", F.when(F.col("dev"), "requirements-dev.txt").otherwise("requirements.txt").alias("path"), "content")
+    return K.manifest_pip(files).select("scan_id", "name", "version", "dev").distinct()
+
+
+@query(f"WITH {PACK} SELECT scan_id, name, 'v' || cv AS version, NOT dev AS direct FROM o GROUP BY ALL")
+def man_go(t: Tables) -> DataFrame:
+    line = F.concat(F.lit("\t"), "name", F.lit(" v"), "cv", F.when(F.col("dev"), " // indirect").otherwise(""))
+    files = _manifest_lines(t, line, "module m\n\nrequire (\n", "\n)\n").withColumn("path", F.lit("go.mod"))
+    return K.manifest_go(files).select("scan_id", "name", "version", "direct").distinct()
+
+
+@query(f"WITH {PACK} SELECT scan_id, name, cv AS version, dev FROM o GROUP BY ALL")
+def man_toml(t: Tables) -> DataFrame:
+    line = F.concat("name", F.lit(' = "'), "cv", F.lit('"'))
+    files = _manifest_lines(t, line, by=("scan_id", "dev"))
+    files = files.select("scan_id", F.lit("Cargo.toml").alias("path"), F.concat(F.when(F.col("dev"), "[dev-dependencies]\n").otherwise("[dependencies]\n"), "content").alias("content"), "dev")
+    # Two sections of one file are two files here, as each has its own path.
+    files = files.withColumn("path", F.concat(F.when(F.col("dev"), "a/").otherwise("b/"), "path"))
+    return K.manifest_toml(files).select("scan_id", "name", "version", "dev").distinct()
