@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again before the next.
 
 Quality rules drop rejected documents and boilerplate lines; near-dedup keeps one document of each class; secret scans mask what they find and
-drop nothing; mixing samples documents by calibrated probabilities; packing returns the pieces' places in the training sequences.
+drop nothing; mixing samples half of the tokens by calibrated probabilities; packing returns the pieces' places in the training sequences.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orewell.llm.common import stage
-from orewell.llm.mixing import sample
+from orewell.llm.mixing import HOLD, sample
 from orewell.llm.neardup import keep_one
 from orewell.llm.packing import pack_documents
 from orewell.llm.rules import apply_rules
@@ -34,7 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sample(docs)
+    return sample(docs, hold=HOLD)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Token weights are summed by cell (source, language, topic). Raking multiplies each cell's factor until the weighted tokens of every source,
 language and topic have their target shares; a factor never passes ``trim`` times the mean, so that no rare cell rules the sample. A
 document is drawn with the probability factor / largest factor, by a hash of its id: expected shares are the raked ones, and nothing is
-drawn twice.
+drawn twice. So the cell of the largest factor sets the size of the sample. With ``hold`` the probability is the least of 1 and c * factor, where c is
+solved so that the sample is expected to hold this share of all tokens: one rare cell moves it no more than its own tokens do, but
+cells at 1 fall short of their raked shares, as nothing is drawn twice.
 
 Only cells go through the rounds. They are cut after each round by a written table; marginal sums are aggregated before they are shuffled.
 
@@ -26,6 +28,8 @@ DIMS = ("source", "lang", "topic")
 #: A target share is the observed share to this power, which lifts small values and lowers large ones.
 SMOOTHING = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, TRIM = 10, 8.0
+#: The share of all tokens that the pipeline's sample holds.
+HOLD = 0.5
 
 
 def topic_of(text: Column, topics: tuple = TOPICS, other: str = OTHER) -> Column:
@@ -62,13 +66,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
+def scaled(raked: DataFrame, hold: float | None = None) -> DataFrame:
+    """``raked`` with ``prob``: factor / largest factor, or with ``hold`` the least of 1 and c * factor for this share of all tokens."""
+    if hold is None:
+        most = raked.agg(F.max("factor").alias("most"))
+        return raked.crossJoin(F.broadcast(most)).withColumn("prob", F.round(F.coalesce(F.col("factor") / F.nullif("most", F.lit(0.0)), F.lit(1.0)), 9)).drop("most")  # most is one row
+    t, c, last = F.col("tokens").cast("double"), 0.0, -1.0
+    while c > last * (1 + 1e-12):  # Newton's steps on a concave sum of ramps: c grows until no further cell reaches 1
+        full = F.col("factor") * F.lit(c) >= 1
+        row = raked.agg(F.sum(t).alias("all"), F.sum(F.when(full, t)).alias("whole"), F.sum(F.when(~full, t * F.col("factor"))).alias("rest")).first()  # three numbers
+        last, c = c, max(c, (hold * row["all"] - (row["whole"] or 0.0)) / row["rest"]) if row["rest"] else c
+    return raked.withColumn("prob", F.round(F.least(F.lit(1.0), F.col("factor") * F.lit(c)), 9) if c else F.lit(1.0))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, trim: float = TRIM, hold: float | None = None) -> DataFrame:
     """Per row: doc_id, source, lang, topic, n_tokens, ``factor``, ``prob`` and ``sampled``. Without targets the smoothed shares are used."""
     rows = stage(features(docs))
     cells = stage(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, targets or {d: smoothed(cells, d, SMOOTHING[d]) for d in DIMS}, rounds, trim)
-    most = raked.agg(F.max("factor").alias("most"))
-    probs = raked.drop("tokens").crossJoin(F.broadcast(most)).select(*DIMS, "factor", F.round(F.coalesce(F.col("factor") / F.nullif("most", F.lit(0.0)), F.lit(1.0)), 9).alias("prob"))  # most is one row
+    probs = scaled(raked, hold).drop("tokens")
     return rows.join(probs, list(DIMS)).select("doc_id", *DIMS, "n_tokens", F.round("factor", 6).alias("factor"), F.round("prob", 6).alias("prob"), (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
 
@@ -85,12 +101,11 @@ def sample(docs: DataFrame, **how) -> DataFrame:
     return docs.withColumns(key).join(named, list(key)).where(draw(F.col("doc_id")) < F.col("__prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def mix_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
+def mix_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, trim: float = TRIM, hold: float | None = None) -> DataFrame:
     """The raked cells: source, lang, topic, ``prob``."""
     cells = stage(features(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, targets or {d: smoothed(cells, d, SMOOTHING[d]) for d in DIMS}, rounds, trim)
-    most = raked.agg(F.max("factor").alias("most"))
-    return raked.crossJoin(F.broadcast(most)).select(*DIMS, F.round(F.coalesce(F.col("factor") / F.nullif("most", F.lit(0.0)), F.lit(1.0)), 9).alias("prob"))
+    return scaled(raked, hold).select(*DIMS, "prob")
 
 
 def _sql() -> str:

@@ -218,6 +218,23 @@ def test_mixing_equals_sql_and_samples_rows(docs, empty):
     assert sorted(repr(tuple(r)) for r in drawn.select("doc_id", "n_tokens", "prob", "sampled").collect()) == want
 
 
+def test_a_rare_source_does_not_shrink_the_pipelines_sample(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(i, prose(3000 + i, 40), "la", f"s{i % 3}") for i in range(900)]
+    size = lambda r: pipeline.mix_sources(spark, spark.createDataFrame(r, "doc_id long, text string, lang string, source string"), SF).count()
+    few, more = size(rows), size([*rows, (900, "one short text", None, None)])
+    assert abs(few - 450) < 45 and abs(more - few) < 20
+
+
+def test_the_scale_holds_the_stated_share_of_tokens(spark):
+    cells = spark.createDataFrame([("a", 1000, 0.5), ("b", 100, 3.0), ("c", 10, 8.0), ("d", 0, 1.0)], "source string, tokens long, factor double")
+    for hold in (0.1, 0.5, 0.9):
+        probs = {r.source: r.prob for r in mixing.scaled(cells, hold).collect()}
+        assert abs(1000 * probs["a"] + 100 * probs["b"] + 10 * probs["c"] - 1110 * hold) < 0.001 and max(probs.values()) <= 1
+    assert {r.prob for r in mixing.scaled(cells.where("tokens = 0"), 0.5).collect()} == {1.0}
+
+
 # 5: packing
 
 
