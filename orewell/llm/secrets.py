@@ -2,7 +2,12 @@
 
 Base rules (``assign``, ``access``, ``hex``) are patterns. Beyond them, base64 and hex candidates are decoded and reported only when the
 bytes have the structure of a secret: a private key in DER (every nested length adds up), an OpenSSH key file (its length-prefixed
-strings fit), or a signed token whose header and claims are JSON objects and whose header names an algorithm.
+strings fit), or a signed token whose header and claims are JSON objects and whose header names an algorithm. PEM bodies may have header lines;
+an encrypted one is confirmed by its cipher's block size.
+
+Escaped line ends (backslash n and the like) count as line ends, and lines of at least 16 characters are joined before decoding. All candidates are decoded, whatever
+they begin with. DER and OpenSSH keys begin and end with a line or a candidate; PEM, tokens and further candidates are looked for in decoded
+bytes too, up to NESTED levels deep. A span covers whole lines of its candidate. Lines inside a PEM span are not joined to a further span.
 
 Defined results: a null text is an empty text, without spans. Long texts are scanned whole. Repeated rows give repeated results.
 An empty table gives an empty table. Columns other than the id and the text are not read, so their names cannot clash.
@@ -14,6 +19,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +35,15 @@ _either = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
 ASSIGN = re.compile(rf"""(?:{'|'.join(map(_either, ('password', 'passwd', 'secret', 'token')))}|{_either('api')}_?{_either('key')})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+#: Escaped line ends, and a backslash that continues a line.
+ESCAPE = re.compile(r"\\+(?:[nrt]|u000[adAD])|\\(?=\s*\n)")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*\.[A-Za-z0-9_.-]*(?:[\x20\t\r]*\n\s*[A-Za-z0-9_.-]+)*|(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{16,}(?:[\x20\t\r]*\n\s*[A-Za-z0-9_.-]+)+")
+B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t\r]*\n\s*[A-Za-z0-9+/_-]+)*={0,2}")
+HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{16,}(?:[\x20\t\r]*\n\s*[0-9A-Fa-f]+)*(?![0-9A-Fa-f])")
+LINE = re.compile(r"[^\s=]+")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"^[\x20\t]*([A-Za-z][A-Za-z0-9-]*):[\x20\t]*([^\r\n]*)", re.M)
+LEAST_64, LEAST_HEX, NESTED = 40, 64, 2
 
 
 def decode64(s: str) -> bytes | None:
@@ -91,11 +102,11 @@ def is_der_key(b: bytes) -> bool:
     return False
 
 
-def is_openssh_key(b: bytes) -> bool:
-    """The magic, then cipher, derivation and its options, a key count, and as many public keys and a private part as fit exactly."""
+def openssh_end(b: bytes) -> int | None:
+    """Where an OpenSSH key ends: the magic, cipher, derivation and its options, a key count, and as many public keys and a private part."""
     magic = b"openssh-key-v1\0"
     if not b.startswith(magic):
-        return False
+        return None
     i, held = len(magic), []
 
     def string() -> bytes | None:
@@ -109,12 +120,16 @@ def is_openssh_key(b: bytes) -> bool:
     for _ in range(3):
         held.append(string())
         if held[-1] is None:
-            return False
+            return None
     count = int.from_bytes(b[i : i + 4], "big")
     i += 4
     if not 1 <= count <= 16 or not held[0]:
-        return False
-    return all(string() for _ in range(count + 1)) and i == len(b)
+        return None
+    return i if all(string() for _ in range(count + 1)) else None
+
+
+def is_openssh_key(b: bytes) -> bool:
+    return openssh_end(b) == len(b)
 
 
 def is_token(s: str) -> bool:
@@ -137,6 +152,118 @@ def _kind_of(b: bytes | None) -> str | None:
     return "der_key" if is_der_key(b) else "openssh_key" if is_openssh_key(b) else None
 
 
+def pem_keys(text: str) -> list[tuple[str, int, int]]:
+    """Private keys in PEM armour; a body may begin with header lines."""
+    out = []
+    for m in PEM.finditer(text):
+        e = text.find("-----", m.end())
+        if not text.startswith(last := f"-----END {m[1]}-----", e):
+            continue
+        body = text[m.end() : e]
+        heads = {h[1].lower(): h[2].strip() for h in PEM_HEADER.finditer(body)}
+        raw = decode64(re.sub(r"\s", "", PEM_HEADER.sub("", body)))
+        kind = _kind_of(raw)
+        if raw and not kind and "ENCRYPTED" in heads.get("proc-type", ""):
+            cipher, _, iv = heads.get("dek-info", "").partition(",")
+            block = 16 if re.match("AES|CAMELLIA|ARIA|SEED", cipher) else 8
+            if re.fullmatch(f"[0-9A-Fa-f]{{{2 * block}}}", iv.strip()) and len(raw) >= 32 and len(raw) % block == 0:
+                kind = "der_key"
+        if kind:
+            out.append((kind, m.start(), e + len(last)))
+    return out
+
+
+def tokens(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens, on one line or wrapped; a wrapped signature goes on while lines are as long as the token's first."""
+    out = []
+    for m in DOTTED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+        joint = "".join(text[s:e] for s, e in lines)
+        if joint.count(".") < 2:
+            continue
+        begin = [0]
+        for s, e in lines:
+            begin.append(begin[-1] + e - s)
+        dots = [-1, *(i for i, c in enumerate(joint) if c == "."), len(joint)]
+        for k in range(1, len(dots) - 2):
+            head, claims, tail = dots[k - 1] + 1, dots[k] + 1, dots[k + 1]
+            if not (decode64(joint[claims:tail]) or b"").lstrip().startswith(b"{"):
+                continue
+            low, high = bisect_right(begin, head), bisect_right(begin, dots[k])
+            for at in (head, *begin[low:high]):  # the line before may end in a word
+                row, last = bisect_right(begin, at) - 1, bisect_right(begin, tail) - 1
+                if row < last:
+                    width = max(b - a for a, b in zip(begin[row : last + 1], begin[row + 1 : last + 2], strict=True))
+                    last = min(bisect_right(begin, tail + 1), len(lines)) - 1
+                    while last + 1 < len(lines) and begin[last + 1] - begin[last] >= width:
+                        last += 1
+                end = min(begin[last + 1], dots[k + 2])
+                if is_token(joint[at:end]):
+                    last = bisect_right(begin, end - 1) - 1
+                    out.append(("jwt", lines[row][0] + at - begin[row], lines[last][0] + end - begin[last]))
+                    break
+    return out
+
+
+def decoded(text: str, m: re.Match, bits: int, depth: int) -> list[tuple[str, int, int]]:
+    """Keys and tokens in the bytes of one candidate, whose characters hold ``bits`` bits each."""
+    lines = [x.span() for x in LINE.finditer(text, *m.span())]
+    joint = "".join(text[s:e] for s, e in lines)
+    if len(joint) < (LEAST_HEX if bits == 4 else LEAST_64):
+        return []
+    begin = [0]
+    for s, e in lines:
+        begin.append(begin[-1] + e - s)
+    places, out, seen = {x: i for i, x in enumerate(begin)}, [], set()
+
+    def raw_of(a: int, b: int) -> bytes | None:
+        return bytes.fromhex(joint[a : b - (b - a) % 2]) if bits == 4 else decode64(joint[a : b - ((b - a) % 4 == 1)])
+
+    def found(kind: str, a: int, b: int) -> None:
+        i, j = bisect_right(begin, a) - 1, bisect_right(begin, b - 1) - 1
+        out.append((kind, lines[i][0], m.end() if j == len(lines) - 1 else lines[j][1]))
+
+    for i, a in enumerate(begin[:-1]):
+        head = raw_of(a, min(a + 24, begin[-1])) or b""
+        size = None
+        if head[:1] == b"\x30" and len(head) >= 6 and (top := _tlv(head, 0, 1 << 40)):
+            size = top[2]
+        elif head.startswith(b"openssh-key-v1\0"[: len(head)]) and len(head) >= 12:
+            size = openssh_end(raw_of(a, begin[-1]) or b"")
+        chars = -(-8 * size // bits) if size else 0
+        if chars >= (LEAST_HEX if bits == 4 else LEAST_64) and a + chars in places and (kind := _kind_of(raw_of(a, a + chars))):
+            found(kind, a, a + chars)
+    if depth < NESTED:
+        for a in begin[:-1]:
+            shift = a * bits % 8 if bits == 4 else a % 4
+            if shift in seen:
+                continue
+            seen.add(shift)
+            raw = raw_of(a, begin[-1])
+            if raw:
+                for kind, s, e in structures(raw.decode("latin-1"), depth + 1):
+                    found(kind, a + s * 8 // bits, a - (-e * 8 // bits))
+    return out
+
+
+def structures(text: str, depth: int = 0) -> set[tuple[str, int, int]]:
+    """The spans that a structure confirms."""
+    if "\\" in text:
+        text = ESCAPE.sub(lambda x: "\n" * len(x[0]), text)  # of the same length: places stay
+    out, armour = set(), []
+    if "PRIVATE KEY-----" in text:
+        armour = pem_keys(text)
+        out.update(armour)
+    if "." in text:
+        out.update(tokens(text))
+    for pattern, bits in ((B64, 6), (HEX_ANY, 4)):
+        for m in pattern.finditer(text):
+            inside = any(s <= m.start() and m.end() <= e for _, s, e in armour)
+            if not inside or "\n" not in m[0]:
+                out.update(decoded(text, m, bits, depth))
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of one text as (kind, start, end), in code points, by start and then kind."""
     if not text:
@@ -147,18 +274,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out.update((1, *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20)
     out.update((2, *m.span()) for m in HEX.finditer(text))
-    if "eyJ" in text:
-        out.update((3, *m.span()) for m in TOKEN.finditer(text) if is_token(m[0]))
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if kind := _kind_of(decode64(re.sub(r"\s", "", m[2]))):
-                out.add((KINDS.index(kind), *m.span()))
-    for m in B64.finditer(text):
-        if m[0][0] in "Mb" and (kind := _kind_of(decode64(m[0]))):  # DER sequences begin with M, the OpenSSH magic with b
-            out.add((KINDS.index(kind), *m.span()))
-    for m in HEX_ANY.finditer(text):
-        if m[0][:2] in ("30", "6f", "6F") and (kind := _kind_of(bytes.fromhex(m[0]))):
-            out.add((KINDS.index(kind), *m.span()))
+    out.update((KINDS.index(k), s, e) for k, s, e in structures(text))
     return [(KINDS[k], s, e) for s, k, e in sorted((s, k, e) for k, s, e in out)]
 
 

@@ -76,6 +76,57 @@ def test_secrets_are_confirmed_by_structure():
     assert not secrets.find_spans(f"{part({'typ': 'x'})}.{part({'sub': 'a'})}.c2lnbmF0dXJl")
 
 
+def lines_of(s: str, width: int = 64, joint: str = "\n") -> str:
+    return joint.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+def spans_beyond_patterns(text):
+    return [(k, text[s:e]) for k, s, e in secrets.find_spans(text) if k not in secrets.BASE]
+
+
+def test_secrets_with_escaped_line_ends_and_header_lines():
+    key = base64.b64encode(rsa_key()).decode()
+    for joint in ("\n", "\\n", "\\r\\n", "\\\\n"):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----{joint}{lines_of(key, joint=joint)}{joint}-----END RSA PRIVATE KEY-----"
+        assert spans_beyond_patterns('{"private_key": "' + pem + joint + '"}') == [("der_key", pem)]
+        assert ("der_key", lines_of(key, joint=joint)) in spans_beyond_patterns(f"begin{joint}{lines_of(key, joint=joint)}{joint}end of text")
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    body, last = random.Random(6).randbytes(608), "\n-----END RSA PRIVATE KEY-----"
+    pem = head + lines_of(base64.b64encode(body).decode()) + last
+    assert spans_beyond_patterns("a " + pem + " b") == [("der_key", pem)]
+    assert not spans_beyond_patterns(head + lines_of(base64.b64encode(body[:-1]).decode()) + last)  # no whole blocks
+
+
+def test_secrets_in_wrapped_lines():
+    key = base64.b64encode(rsa_key()).decode()
+    for width in (64, 76):
+        assert spans_beyond_patterns("the key\n" + lines_of(key, width) + "\nand more words") == [("der_key", lines_of(key, width))]
+        assert spans_beyond_patterns("hex:\n  " + lines_of(rsa_key().hex(), width, "\n  ")) == [("der_key", lines_of(rsa_key().hex(), width, "\n  "))]
+    assert not spans_beyond_patterns("the key\n" + lines_of(key[:-8]) + "\nand more words")
+
+
+def test_secrets_inside_encoded_text():
+    key = base64.b64encode(rsa_key()).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines_of(key)}\n-----END RSA PRIVATE KEY-----\n"
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o, indent=1).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'a'})}.c2lnbmF0dXJl"
+    for kind, held in (("der_key", pem), ("jwt", f'{{"token": "{token}", "more": "none"}}')):
+        value = base64.b64encode(held.encode()).decode()
+        assert value[0] not in "Mb"
+        assert spans_beyond_patterns(f"data:\n  tls.key: {value}\n") == [(kind, value)]
+        assert spans_beyond_patterns(f"words\n{lines_of(value, 76)}\n\nmore words")[0][0] == kind
+        assert spans_beyond_patterns("x " + held.encode().hex() + " y") == [(kind, held.encode().hex())]
+
+
+def test_tokens_whatever_their_first_character_and_wrapped():
+    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    for head in ('{"alg":"HS256"}', '{ "alg": "HS256"}', '{\n "alg": "HS256"}', ' {"alg": "HS256"}'):
+        token = f"{part(head)}.{part('{"sub": "somebody with a long name"}')}.c2lnbmF0dXJlc2lnbmF0dXJl"
+        for a, b in (("", ""), ("Bearer ", " x"), ("see.", ". Then"), ("word\n", "\nword")):
+            assert spans_beyond_patterns(a + token + b) == [("jwt", token)]
+        assert spans_beyond_patterns("word\n" + lines_of(token, 20) + "\nword or more") == [("jwt", lines_of(token, 20))]
+
+
 def test_base_rules_of_secrets():
     text = 'é API_KEY: "abcdef" token=abc AKIA' + "A" * 16 + " " + "0a" * 12
     assert secrets.find_spans(text) == [("assign", 2, 18), ("access", 30, 50), ("hex", 51, 75)]
