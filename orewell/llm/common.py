@@ -92,16 +92,21 @@ class TextEncoder:
     Texts of Latin characters are cut into pre-tokens by the vocabulary's pattern, and the library's model is asked once for each different
     pre-token, as words repeat (up to a fixed bound of remembered ones). Any other text goes through the library's whole pipeline. The ids
     are the same either way; tests compare them.
+
+    With ``special``, the library's default and what the operators use, literals of added tokens are cut out as these tokens; a text
+    that may hold one goes through the whole pipeline. Without it they are text like any other.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 500_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        literals = [re.escape(t["content"]) for t in spec["added_tokens"] if special or not t["special"]]
+        self.added = re.compile("|".join(literals), re.I).search if literals else lambda x: None
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         latin = [chr(c) for c in range(0x250)]
         kind = lambda k: "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == k)
@@ -122,7 +127,7 @@ class TextEncoder:
         for x in texts:
             if not x:
                 out.append(b"")
-            elif self.other(x):
+            elif self.other(x) or self.added(x):
                 out.append(array("I", self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes())
             else:
                 out.append(b"".join(map(self.memo.__getitem__, self.find(x.lower() if self.lower else x))))

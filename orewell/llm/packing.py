@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     """key, piece, start, length, ids_crc32: each document's ids and the end id, cut only if longer than the capacity."""
 
     def make():
-        encode, tail = TextEncoder(vocabulary), np.uint32(end).tobytes()
+        encode, tail = TextEncoder(vocabulary, special=True), np.uint32(end).tobytes()
 
         def run(keys, texts):
             out = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}

@@ -130,7 +130,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END, block
     ranged = ranged.select(F.spark_partition_id().alias("range"), "doc_id", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, place = TextEncoder(vocabulary), 0
+        encode, place = TextEncoder(vocabulary, special=True), 0
         tail = np.uint32(end).tobytes()
         for b in batches:
             texts = b.column(2).to_pylist()

@@ -368,6 +368,27 @@ def test_the_encoder_gives_the_librarys_ids(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(name, t, 0)[:-1].tolist() for t in some]
 
 
+@pytest.mark.parametrize("name,want", [("byte_bpe_50k.json", [64, 220, 50256, 275]), ("word_bpe_49k.json", [320, 49407, 321])])
+def test_literals_of_special_tokens_give_the_librarys_default_ids(spark, name, want):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    default = lambda t: tok.encode(t, add_special_tokens=False).ids
+    assert default("a <|endoftext|> b") == want
+    some = ["a <|endoftext|> b", "A<|EndOfText|>b", "<|endoftext|>", "<|startoftext|>  x <|endoftext|>\n\ny", "<|endoftext", prose(3, 50), "日本 <|endoftext|> é"]
+    got = TextEncoder(public_tokenizers.path(name), special=True)(some)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [default(t) for t in some]
+    docs, at = documents(spark, list(enumerate(some))), 0
+    crc = lambda t, end: zlib.crc32(np.array([*default(t), end], np.uint32).tobytes())
+    if name.startswith("byte"):
+        assert {r.doc_id: r.ids_crc32 for r in packing.pack_documents(docs).collect()} == {i: crc(t, 0) for i, t in enumerate(some)}
+    else:
+        for i, start, n, found in sorted(map(tuple, rans.written_documents(docs).collect()), key=lambda r: r[1]):
+            assert (start, n, found) == (at, len(default(some[i])) + 1, crc(some[i], 2))
+            at += n
+
+
 # 7: exact top-k
 
 
