@@ -1,10 +1,12 @@
 """Operator 10: substring deduplication by content-defined chunking with a gear rolling hash.
 
-A gear hash over the last 32 bytes of a text marks cuts, moved to the next word's start; so a cut depends on nearby bytes only, and an
-insertion moves no cut but those beside it. Chunks of 32 bytes on average are reduced to digests. Of each digest only its first document (least
-id) is kept; a later document's chunk is a repeat. Consecutive repeats form runs. A run of at least ``min_words`` words is a repeated
-passage. A shorter run may be the inside of one, as the passage's ends share a chunk with other text: it is looked up in the text of the first
-document, grown word by word to both sides, and reported if it reaches ``min_words``.
+A gear hash over the last 16 bytes is taken after each word. A chunk begins at each word that has the least hash of some WINDOW words in a row; so a cut
+depends on nearby bytes only, an insertion moves no cut but those beside it, and no chunk has over WINDOW words. Chunks are reduced to digests. A
+digest that two documents hold marks its words. Of two equal passages of ``min_words`` words, both have the same cuts inside, but for the first 7
+words (16 bytes of one-letter words) and WINDOW - 1 words at each end; so at least ``look_up`` words in a row are marked in both.
+
+Around each such run, the digests of all stretches of ``min_words`` words are compared: of each, only the first document (least id) is kept, and a later
+document's stretch is a repeat. Stretches that overlap are one passage. So the chunks only choose where to look; the stretches decide.
 
 Digests are aggregated before they are shuffled; repeats are joined to first documents, never to each other, so a group of n copies gives n rows.
 
@@ -22,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, map_text, stage
+from .common import map_text, stage
 
 MIN_WORDS, LOOK_UP = 50, 12
-WINDOW_STEPS, CUT_BITS, MIN_BYTES, MAX_BYTES = (1, 2, 4, 8, 16), 5, 16, 256
+WINDOW_STEPS, WINDOW_BYTES = (1, 2, 4, 8), 16
 #: Random numbers for bytes, from a fixed seed.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 NO_ID = (1 << 63) - 1
@@ -34,7 +36,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def gear(b: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte: the sum of GEAR of the last 32 bytes, shifted by their age."""
+    """The gear hash after each byte: the sum of GEAR of the last 16 bytes, shifted by their age."""
     h = GEAR[b]
     for m in WINDOW_STEPS:
         more = h.copy()
@@ -43,120 +45,99 @@ def gear(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(b: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Where chunks begin: 0, and word starts after marked bytes, not within MIN_BYTES after another mark, and at MAX_BYTES at the latest."""
-    marks = np.flatnonzero(gear(b) >> np.uint32(32 - CUT_BITS) == 0)
-    marks = marks[np.diff(marks, prepend=-MIN_BYTES) >= MIN_BYTES]
-    at = np.searchsorted(words, marks + 1)
-    begin = np.unique(np.concatenate([[0], words[at[at < len(words)]]]))
-    if len(b) and np.diff(begin, append=len(b)).max() > MAX_BYTES:
-        out = []
-        for a, e in zip(begin, [*begin[1:], len(b)], strict=True):
-            out.append(a)
-            while e - a > MAX_BYTES:
-                k = np.searchsorted(words, a + MAX_BYTES, side="right") - 1
-                if k >= 0 and words[k] > a:
-                    a = int(words[k])
-                else:  # one long word
-                    a += MAX_BYTES
-                    while a < e and b[a] & 0xC0 == 0x80:
-                        a += 1
-                if a < e:
-                    out.append(a)
-        begin = np.array(out)
-    return begin
-
-
-def chunks(text: str) -> tuple[list[int], np.ndarray]:
-    """(digests, places) of a text's chunks; a place packs start and length in code points and the number of words."""
-    raw = text.encode("utf-8", "surrogatepass")
+def places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text, and where its words begin and end."""
     b = np.frombuffer(raw, np.uint8)
     space = _SPACE[b]
-    words = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    if not len(words):
-        return [], np.zeros(0, np.int64)
-    begin = cuts(b, words)
-    end = np.append(begin[1:], len(b))
-    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-    n_words = np.searchsorted(words, end) - np.searchsorted(words, begin)
-    digests = [xxhash.xxh3_64_intdigest(raw[s:e].rstrip()) - (1 << 63) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
-    return digests, pack(chars[begin], chars[end] - chars[begin], n_words)
+    return b, np.flatnonzero(~space & np.concatenate([[True], space[:-1]])), np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+
 
+def window(min_words: int, look_up: int) -> int:
+    """The most words in a row of which one begins a chunk, so that equal passages surely hold a run of ``look_up`` words in common chunks."""
+    return max(1, (min_words - WINDOW_BYTES // 2 - look_up) // 4 + 1)
 
-def pack(start, length, words):
-    return (start.astype(np.int64) << 27) | (length.astype(np.int64) << 13) | words.astype(np.int64)
+
+def cuts(h: np.ndarray, size: int) -> np.ndarray:
+    """The words that begin chunks: 0, and the last least hash of each ``size`` words in a row."""
+    if len(h) < size:
+        return np.zeros(1, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(h, size)
+    return np.unique(np.concatenate([[0], np.arange(len(rows)) + size - 1 - rows[:, ::-1].argmin(1)]))
+
+
+def chunks(text: str, size: int) -> tuple[list[int], np.ndarray]:
+    """(digests, places) of a text's chunks; a place packs the first word's number and the number of words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    b, start, end = places(raw)
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    begin = cuts(gear(b)[end - 1], size)
+    last = np.append(begin[1:], len(start))
+    digests = [xxhash.xxh3_64_intdigest(raw[s:e]) - (1 << 63) for s, e in zip(start[begin].tolist(), end[last - 1].tolist(), strict=True)]
+    return digests, (begin.astype(np.int64) << 13) | (last - begin)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
+def chunk_table(docs: DataFrame, size: int) -> DataFrame:
     """digest, doc, at: a row for each chunk."""
 
     def make():
         def run(keys, texts):
-            found = [chunks(x) if x else ([], np.zeros(0, np.int64)) for x in texts]
+            found = [chunks(x, size) if x else ([], np.zeros(0, np.int64)) for x in texts]
             sizes = [len(d) for d, _ in found]
             return {"digest": [d for ds, _ in found for d in ds], "doc": np.repeat(np.asarray(keys, np.int64), sizes), "at": np.concatenate([p for _, p in found])}
 
         return run
 
-    return map_text(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text"), make, "digest long, doc long, at long")
-
-
-def grow(text: str, other: str, start: int, end: int, least: int) -> tuple[int, int, int] | None:
-    """(start, end, words) of the longest stretch of whole words around text[start:end] that ``other`` holds too, if of ``least`` words."""
-    inside, best, at = text[start:end].strip(), None, -1
-    start += len(text[start:end]) - len(text[start:end].lstrip())
-    end = start + len(inside)
-    while inside and (at := other.find(inside, at + 1)) >= 0:
-        a, b, oa, ob = start, end, at, at + len(inside)
-        while a and oa and text[a - 1] == other[oa - 1]:
-            a, oa = a - 1, oa - 1
-        while b < len(text) and ob < len(other) and text[b] == other[ob]:
-            b, ob = b + 1, ob + 1
-        found = [m.span() for m in WORD.finditer(text, a, b)]
-        edge = lambda s, i: i in (0, len(s)) or s[i - 1].isspace() or s[i : i + 1].isspace()
-        if found and not (edge(text, a) and edge(other, oa)):
-            found = found[1:]
-        if found and not (edge(text, b) and edge(other, ob)):
-            found = found[:-1]
-        if len(found) >= least and (best is None or len(found) > best[2]):
-            best = (found[0][0], found[-1][1], len(found))
-    return best
+    return map_text(docs, make, "digest long, doc long, at long")
+
+
+def stretches(text: str, marks: np.ndarray, min_words: int, look_up: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, first word, start, end in code points) of the stretches of ``min_words`` words that share a run of ``look_up`` marked words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    b, start, end = places(raw)
+    n = len(start)
+    edge = np.zeros(n + 1, np.int64)
+    first, size = marks >> 13, marks & ((1 << 13) - 1)
+    np.add.at(edge, np.minimum(first, n), 1)
+    np.add.at(edge, np.minimum(first + size, n), -1)
+    turn = np.flatnonzero(np.diff((np.cumsum(edge[:n]) > 0).astype(np.int8), prepend=0, append=0))
+    wanted = np.zeros(max(n - min_words + 1, 0), bool)
+    for s, e in turn.reshape(-1, 2).tolist():
+        if e - s >= look_up:
+            wanted[max(s + look_up - min_words, 0) : max(e - look_up + 1, 0)] = True
+    at = np.flatnonzero(wanted)
+    a, z = start[at], end[at + min_words - 1] if len(at) else at
+    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return [xxhash.xxh3_64_intdigest(raw[s:e]) - (1 << 63) for s, e in zip(a.tolist(), z.tolist(), strict=True)], at, chars[a], chars[z]
+
+
+def shared(table: DataFrame) -> DataFrame:
+    """digest and first document of the digests that several documents hold."""
+    return table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, look_up: int = LOOK_UP) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), n_words, first_doc_id: passages of a document that an earlier document holds."""
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    table = stage(chunk_table(docs))
-    first = table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
-    again = table.join(first, "digest").where("doc > first").select("doc", "at", "first").distinct()
-    start, size, words = F.shiftright("at", 27), F.shiftright("at", 13).bitwiseAND(F.lit((1 << 14) - 1)), F.col("at").bitwiseAND(F.lit((1 << 13) - 1))
-    again = again.select("doc", "first", start.alias("start"), (start + size).alias("end"), words.alias("words"))
-    own = Window.partitionBy("doc").orderBy("start", "end")
-    new = F.coalesce(F.lag("end").over(own) != F.col("start"), F.lit(True)).cast("int")
-    runs = again.withColumn("run", F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.collect_set("first").alias("firsts"), F.mode("first", True).alias("first"))
-    runs = stage(runs.where(F.col("n_words") >= look_up))
-    sure = runs.where(F.col("n_words") >= min_words).select("doc", "start", "end", "n_words", "first")
-    asked = runs.where(F.col("n_words") < min_words).select("doc", "start", "end", F.explode("firsts").alias("first"))
-    wanted = asked.select("doc").union(asked.select("first")).distinct()
-    texts = stage(docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id"))
-    pairs = asked.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").join(texts.select(F.col("doc_id").alias("first"), F.col("text").alias("other")), "first")
+    table = stage(chunk_table(docs, window(min_words, look_up)))
+    marks = table.join(shared(table), "digest", "left_semi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("marks"))
+    names = ("digest", "doc", "word", "start", "end")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                found = grow(r["text"], r["other"], r["start"], r["end"], min_words)
-                if found:
-                    out.append({"doc": r["doc"], "start": found[0], "end": found[1], "n_words": found[2], "first": r["first"]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.int64()) for c in ("doc", "start", "end", "n_words", "first")]))
-
-    grown = pairs.select("doc", "start", "end", "first", "text", "other").mapInArrow(look, "doc long, start long, end long, n_words long, first long")
-    # Passages of one document that overlap are one.
-    spans = stage(sure.union(grown))
-    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("run", F.sum(F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.min("first").alias("first"))
+            for key, text, held in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
+                digests, *rest = stretches(text, np.asarray(held, np.int64), min_words, look_up) if text else ([],)
+                if digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (digests, np.full(len(digests), key), *rest)], schema=schema)
+
+    asked = stage(docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(look, ", ".join(f"{c} long" for c in names)))
+    again = asked.join(shared(asked), "digest").where("doc > first")
+    # Stretches of one document that overlap are one passage.
+    own = Window.partitionBy("doc").orderBy("word", "start")
+    new = F.coalesce(F.col("word") - F.lag("word").over(own) >= min_words, F.lit(True)).cast("int")
+    runs = again.withColumn("run", F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + min_words).alias("n_words"), F.min("first").alias("first"))
     return merged.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "start", "end", "n_words", F.col("first").alias("first_doc_id"))
 
 

@@ -443,6 +443,27 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
     assert left[100] == text[100] and left[5] == text[5] and left[200] is None and not left[202].strip()
 
 
+@pytest.mark.parametrize("letters", [(1, 1), (2, 5), (3, 9)])
+def test_passages_just_over_fifty_words_are_found_at_any_place(spark, letters):
+    r = random.Random(7)
+    some = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(*letters))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(600):
+        held = some(50 + i % 11)
+        for k in (0, 1):
+            front = some(r.randint(1, 60)) + " #" + str(2 * i + k) + " "
+            rows.append((2 * i + k, front + held + f" {2 * i + k}# " + some(r.randint(1, 60))))
+        want[2 * i + 1] = (2 * i + 1, len(front), len(front) + len(held), 50 + i % 11, 2 * i)
+    assert sorted(map(tuple, substrings.repeated_passages(documents(spark, rows)).collect())) == sorted(want.values())
+
+
+def test_passages_are_found_beside_an_earlier_document_with_their_middle_only(spark):
+    held = prose(91, 60).replace("\n", " ")
+    rows = [(1, prose(92, 50) + " " + " ".join(held.split()[10:50]) + " " + prose(93, 50))]
+    rows += [(i, prose(94 + i, 50) + f" {i} " + held + f" {i} " + prose(194 + i, 50)) for i in (2, 3)]
+    assert [(r.doc_id, r.n_words, r.first_doc_id) for r in substrings.repeated_passages(documents(spark, rows)).collect()] == [(3, 60, 2)]
+
+
 def test_substring_edges(docs, empty):
     out = substrings.repeated_passages(docs)
     assert {r.doc_id for r in out.collect()} == {2, 3}
