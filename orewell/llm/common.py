@@ -11,8 +11,10 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words everywhere in this package: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -43,6 +45,52 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in staged:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/orewell-" in path:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A staged table of at most so many bytes on disk is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``staged`` with the broadcast hint if its files hold at most ``limit`` bytes."""
+    spark, held = staged.sparkSession, 0
+    for path in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held += at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(staged) if held <= limit else staged
+
+
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each begins, of batches sorted by the integer columns ``keys``; a group that batches cut is put together."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        starts = _starts(t, keys)
+        if starts[-1]:
+            yield t.slice(0, int(starts[-1])), starts[:-1]
+        held = t.slice(int(starts[-1]))
+    if held is not None:
+        yield held, _starts(held, keys)
+
+
+def _starts(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
 def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of ``texts`` that hold at most ``limit`` characters, or one text."""
     i, held = 0, 0

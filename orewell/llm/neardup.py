@@ -5,14 +5,18 @@ their rank, as a Poisson process that the element's hash alone determines: a dar
 signature. A dart beyond the element's weight misses. The signature keeps the earliest dart of each coordinate, so two sets agree on a
 coordinate with the probability of their weighted Jaccard similarity. About k log k darts fill k coordinates, however many elements there are.
 
-Signatures are cut into bands; documents that agree on a band are candidates. In each bucket one leader is compared with the other members
-by the exact similarity of their shingles. Members that the links so far have joined need no further comparison, nor do pairs whose sizes rule
-the similarity out. For the rest more leaders follow, four times as many in each round, until a bucket's members are of one class or the pairs
-left are no more than a few for each row of the buckets, and then those are all compared. So a group of copies is not expanded into pairs, no
-candidate pair of different classes is left out, and the number of rounds is the logarithm of the largest bucket's.
-Texts with the same words in the same order are one node from the start.
-
-With BANDS bands of ROWS coordinates a pair of similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 3e-6. Production weights are 1 for
+Signatures are cut into bands; documents that agree on a band are in one bucket. Two steps find the links, each in blocks of bounded size, so no bucket is
+held by one task and no group of copies is expanded into pairs:
+
+1. In each block of a bucket a spanning forest of the likeliest pairs (most equal coordinates) is checked by the exact similarity of the shingles. In a
+   group of n copies that is n - 1 pairs.
+2. In buckets whose members are still of several classes, the members outside the largest class meet the others. A pair of different classes is checked
+   unless sizes or signatures rule it out, in the first band on which both agree, and in no other.
+
+So every candidate pair is checked, is in one class already, or is ruled out. Only signatures (2 bytes a coordinate) go to the buckets; shingles go to blocks
+that have a pair to check, once for each member. Signatures rule a pair out that has SLACK standard deviations fewer equal coordinates than the similarity asks for.
+
+With BANDS bands of ROWS coordinates a pair of similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 3e-6, and ruled out with 3e-6. Production weights are 1 for
 each different shingle, so the similarity is that of shingle sets; ``weights="count"`` weighs by occurrences.
 
 Defined results: words are runs without white space; fewer words than a shingle are one shingle. Texts without a word (empty or blank) are copies of
@@ -27,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_text, stage
+from .common import WORD, broadcast_if_small, discard, groups, map_text, stage
 from .components import components
 
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
+WORDS, SIMILARITY, BANDS, ROWS, SLACK = 5, 0.8, 24, 4, 4.8
 K = BANDS * ROWS
+#: About the most rows, and shingles, of a block of a bucket.
+BLOCK, BLOCK_WEIGHT = 512, 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,23 +120,18 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     return best.reshape(n, k).view(np.uint64)
 
 
-def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A hash for each band of each signature."""
-    n, k = sig.shape
-    s = sig.reshape(n, k // rows, rows)
-    h = np.broadcast_to(np.arange(k // rows, dtype=np.uint64), (n, k // rows)) * _STEP
-    for i in range(rows):
-        h = mix(h + s[:, :, i])
-    return h.view(np.int64)
-
-
 def _weighted(s: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
     values, times = np.unique(s, return_counts=True)
     return values, times.astype(float) if weights == "count" else np.ones(len(values))
 
 
-def nodes(docs: DataFrame, weights: str = "set", size: int = WORDS, k: int = K, rows: int = ROWS) -> DataFrame:
-    """doc_id, ``node`` (hash of the words in order; null for a null text), ``size`` (its weight in all), ``bands``."""
+def row_hash() -> F.Column:
+    """With the id this tells a row's text from other texts under the same id."""
+    return F.xxhash64("text")
+
+
+def nodes(docs: DataFrame, weights: str = "set", size: int = WORDS, k: int = K) -> DataFrame:
+    """doc_id, ``h`` (row_hash), ``node`` (hash of the words in order; null for a null text), ``size`` (its weight in all), ``sig`` (16 bits for each coordinate; null without a word)."""
 
     def make():
         shingler = Shingler(size)
@@ -139,133 +141,258 @@ def nodes(docs: DataFrame, weights: str = "set", size: int = WORDS, k: int = K,
             sets = [_weighted(shingler.shingles(h), weights) for h in hashes]
             owner = np.repeat(np.arange(len(texts)), [len(v) for v, _ in sets])
             sig = signatures(owner, np.concatenate([v for v, _ in sets]), np.concatenate([w for _, w in sets]), len(texts), k)
-            node = [None if x is None else int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) for x, h in zip(texts, hashes, strict=True)]
-            held = bands(sig, rows)
-            return {"doc_id": keys, "node": node, "size": [float(w.sum()) for _, w in sets], "bands": [b if len(h) else [] for b, h in zip(held.tolist(), hashes, strict=True)]}
+            short = (mix(sig) & np.uint64(0xFFFF)).astype("<u2")
+            node = [None if x is None else _node(h) for x, h in zip(texts, hashes, strict=True)]
+            return {"doc_id": keys.field("doc_id"), "h": keys.field("h"), "node": node, "size": [float(w.sum()) for _, w in sets], "sig": [s.tobytes() if len(h) else None for s, h in zip(short, hashes, strict=True)]}
 
         return run
 
-    return map_text(docs, make, "doc_id long, node long, size double, bands array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``least``: exact, on the shingle hashes."""
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            sa, sb, wa, wb = (b.column(c) for c in ("sa", "sb", "wa", "wb"))
-            for i in range(b.num_rows):
-                x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
-                u, v = wa[i].values.to_numpy(), wb[i].values.to_numpy()
-                if len(u):
-                    _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    both, all_ = np.minimum(u[at], v[to]).sum(), u.sum() + v.sum()
-                else:
-                    both, all_ = len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)
-                keep.append(both >= least * (all_ - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(check, "a long, b long")
-
-
-def links(buckets: DataFrame, sets_of, least: float) -> DataFrame | None:
-    """Verified links (a, b) that join what ``buckets`` (bk, node, size) make candidates and the similarity joins; None if there are none."""
-    weight = buckets.join(buckets.groupBy("bk").agg(F.count("*").alias("n")), "bk").groupBy("node").agg(F.sum("n").alias("seen"))
-    open_ = stage(buckets.join(weight, "node").select("bk", "node", "size", "seen"))
-    sets = sets_of(open_.select("node").distinct())
-    found: DataFrame | None = None
-    leaders = 1
-    while True:
-        if found is not None:
-            roots = components(found)
-            open_ = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            open_ = open_.withColumn("root", F.col("node"))
-        # Buckets whose members are of more than one class by now; the leader that most documents meet is the likely original.
-        lead = open_.groupBy("bk").agg(F.max(F.struct("seen", "node")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        chosen = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node"), F.col("n")) < leaders - 1)
-        now = stage(open_.join(lead.select("bk", F.col("x.node").alias("first"), "n"), "bk").withColumn("leads", chosen))
-        rows, by_pairs = now.agg(F.count("*"), F.sum(F.when(F.col("node") == F.col("first"), F.col("n") * F.col("n") / 2))).first()
-        if not rows:
-            return found
-        last = by_pairs <= 4 * rows  # few enough: all pairs of different classes
-        left = now.where(F.lit(last) | F.col("leads")).select("bk", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-        pairs = left.join(now, "bk").where((F.col("root") != F.col("root_a")) & (F.least("size", "size_a") >= least * F.greatest("size", "size_a") - 1e-9))
-        pairs = pairs.where("a < node" if last else "not leads or a < node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = stage(verified(pairs, sets, least))
-        found = more if found is None else stage(found.union(more))
-        if last:
-            return found
-        open_ = now.where("not leads").select("bk", "node", "size", "seen", "root")
-        leaders *= 4
-
-
-def classes(docs: DataFrame, least: float = SIMILARITY, weights: str = "set", size: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each input row: doc_id, class_id (the least id of its class), class_size."""
-    seen = stage(nodes(docs, weights, size, n_bands * rows, rows))
-    buckets = seen.select("node", "size", F.explode("bands").alias("bk")).where(F.col("node").isNotNull()).distinct()
-    shared = buckets.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk")
-    buckets = stage(buckets.join(shared, "bk"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        # A node's text is that of its first id; copies of it with the same id are dropped by the node.
-        first = seen.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").where(F.col("doc_id").isNotNull())
-        rest = seen.where(F.col("doc_id").isNull()).select("node").distinct().join(wanted, "node", "left_semi").limit(1).count()
-        text = docs.select("doc_id", "text").join(first, "doc_id").select("node", "text")
-        if rest:  # texts without any id are found by their words
-            text = text.union(_without_id(docs, size).join(wanted, "node", "left_semi"))
-        held = _right_text(text, size, weights)
-        return stage(held)
-
-    found = links(buckets, sets_of, least)
-    if found is None:
-        named = seen.withColumn("root", F.col("node"))
-    else:
-        named = seen.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.select("doc_id", "root")
-    known = named.where(F.col("root").isNotNull())
-    heads = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = known.join(heads, "root").select("doc_id", "class_id", "class_size")
-    return out.union(named.where(F.col("root").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
-
-
-def _node_of(shingler: Shingler, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(shingler.words(text).tobytes(), digest_size=8).digest(), "little", signed=True)
+    rows = docs.select(F.struct("doc_id", row_hash().alias("h")).alias("who"), "text")
+    return map_text(rows, make, "doc_id long, h long, node long, size double, sig binary", key="who")
 
 
-def _without_id(docs: DataFrame, size: int) -> DataFrame:
-    def make():
-        shingler = Shingler(size)
-        return lambda keys, texts: {"node": [_node_of(shingler, x) for x in texts], "text": texts}
+def _node(words: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-    return map_text(docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()), make, "node long, text string")
 
-
-def _right_text(text: DataFrame, size: int, weights: str) -> DataFrame:
-    """One row of shingles for each node; a row whose text (of an id that two texts share) isn't the node's is left out."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, weights: str) -> DataFrame:
+    """node, ``s`` (sorted shingle hashes), ``w`` (weights; empty for sets) of the nodes of ``wanted`` (node, doc_id, h: a row that holds it)."""
 
     def make():
         shingler = Shingler(size)
 
         def run(keys, texts):
-            own = [x is not None and _node_of(shingler, x) == n for n, x in zip(keys.to_pylist(), texts, strict=True)]
-            sets = [_weighted(shingler.shingles(shingler.words(x)), weights) for x, ok in zip(texts, own, strict=True) if ok]
-            return {"node": keys.filter(pa.array(own, pa.bool_())), "s": [v.view(np.int64) for v, _ in sets], "w": [w.astype(np.int32) if weights == "count" else [] for _, w in sets]}
+            sets = [_weighted(shingler.shingles(shingler.words(x)), weights) for x in texts]
+            return {"node": keys, "s": [v.view(np.int64) for v, _ in sets], "w": [w.astype(np.int32) if weights == "count" else [] for _, w in sets]}
 
         return run
 
-    return map_text(text, make, "node long, s array<long>, w array<int>", key="node").dropDuplicates(["node"])
+    # Rows with equal ids and texts hold one node; the aggregate leaves one of them before texts become sets.
+    texts = docs.select("doc_id", "text", row_hash().alias("h")).where(F.col("text").isNotNull())
+    asked = broadcast_if_small(stage(wanted)).alias("w")
+    held = texts.alias("d").join(asked, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h"))).select("w.node", "d.text")
+    return map_text(held, make, "node long, s array<long>, w array<int>", key="node").groupBy("node").agg(F.first("s").alias("s"), F.first("w").alias("w"))
+
+
+class Sets:
+    """The shingle sets of a table's rows, side by side."""
+
+    def __init__(self, t: pa.Table):
+        self.s, self.at = self._flat(t, "s")
+        self.w, held = self._flat(t, "w")
+        if len(self.w) == 0 and len(self.s):
+            self.w, held = np.ones(len(self.s), np.int32), self.at
+        self.total = np.add.reduceat(np.append(self.w, 0), held[:-1]) * (np.diff(held) > 0) if len(held) > 1 else np.zeros(0)
+
+    @staticmethod
+    def _flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        c = t.column(name).combine_chunks()
+        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        return c.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def alike(self, one: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Which rows ``others`` have at least the similarity ``least`` to the row ``one``: exact, on the shingle hashes."""
+        own, weight = self.s[self.at[one] : self.at[one + 1]].view(np.uint64), self.w[self.at[one] : self.at[one + 1]]
+        sizes = self.at[others + 1] - self.at[others]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) + np.repeat(self.at[others] - (ends - sizes), sizes)
+        all_ = self.s[place].view(np.uint64)
+        to = np.minimum(np.searchsorted(own, all_), len(own) - 1)
+        both = np.where(own[to] == all_, np.minimum(weight[to], self.w[place]), 0)
+        both = np.add.reduceat(both, ends - sizes)
+        return both >= least * (self.total[one] + self.total[others] - both) - 1e-9
+
+
+def agreements(x: np.ndarray, y: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of signatures the number of equal coordinates, and the first band on which they agree (-1: none)."""
+    same = x[:, None, :] == y[None, :, :]
+    band = same.reshape(len(x), len(y), -1, rows).all(3)
+    return same.sum(2), np.where(band.any(2), band.argmax(2), -1)
+
+
+def _signatures(t: pa.Table) -> np.ndarray:
+    c = t.column("sig").combine_chunks()
+    return np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(t.num_rows, -1)
+
+
+def forest(size: np.ndarray, sig: np.ndarray, least: float, enough: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the likeliest pairs: Prim's on the number of equal coordinates; no edge below ``enough`` or ruled out by sizes."""
+    n = len(size)
+    same = (sig[:, None, :] == sig[None, :, :]).sum(2)
+    same[np.minimum(size[:, None], size) < least * np.maximum(size[:, None], size) - 1e-9] = 0
+    best, near, out = same[0].copy(), np.zeros(n, np.int64), []
+    best[0] = -1
+    for _ in range(n - 1):
+        j = int(best.argmax())
+        if best[j] >= enough:
+            out.append((int(near[j]), j))
+        best[j] = -1
+        nearer = (same[j] > best) & (best >= 0)
+        best[nearer], near[nearer] = same[j][nearer], j
+    return out
+
+
+def blocks_of(rows: str, weight: str) -> F.Column:
+    """Into how many blocks a group is dealt, so that a block has about BLOCK rows and BLOCK_WEIGHT shingles at most."""
+    return F.greatest(F.ceil(F.col(rows) / F.lit(BLOCK)), F.ceil(F.col(weight) / F.lit(BLOCK_WEIGHT))).cast("int")
+
+
+def likely_pairs(rows: DataFrame, least: float, enough: int) -> DataFrame:
+    """Pairs (a, b) of a spanning forest for each block of each bucket; ``rows``: bk, part, node, size, sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in groups(batches, "bk", "part"):
+            node, size, sig = t.column("node").to_numpy(), t.column("size").to_numpy(), _signatures(t)
+            ends = np.append(starts[1:], t.num_rows)
+            two = starts[ends - starts == 2]
+            ok = ((sig[two] == sig[two + 1]).sum(1) >= enough) & (np.minimum(size[two], size[two + 1]) >= least * np.maximum(size[two], size[two + 1]) - 1e-9)
+            a, b = [*two[ok]], [*(two[ok] + 1)]
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s > 2:
+                    for i, j in forest(size[s:e], sig[s:e], least, enough):
+                        a.append(s + i)
+                        b.append(s + j)
+            x, y = node[a], node[b]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return rows.repartition("bk", "part").sortWithinPartitions("bk", "part").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, least: float, size: int, weights: str) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least ``least``. Sets go to blocks of a node's partners: once for each partner, and once for the block."""
+    count = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = pairs.join(count, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    members = dealt.select("a", "part", F.col("b").alias("node")).union(dealt.select("a", "part", F.col("a").alias("node")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(docs, table.join(wanted, "node", "left_semi").select("node", "rep.*"), size, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in groups(batches, "a", "part"):
+            node, first, sets = t.column("node").to_numpy(), t.column("a").to_numpy(), Sets(t)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                one = s + int(np.flatnonzero(node[s:e] == first[s])[0])
+                others = np.array([i for i in range(s, e) if i != one], np.int64)
+                yes = others[sets.alike(one, others, least)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(yes), first[s])), "b": pa.array(node[yes])})
+
+    joined = members.join(sets, "node").select("a", "part", "node", "s", "w")
+    return joined.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long")
+
+
+def across(rows: DataFrame, least: float, enough: int, band_rows: int) -> DataFrame:
+    """What may still be linked: ``rows`` (bk, band, node, size, sig, root) of buckets of several classes, in blocks that hold each pair of classes' members once.
+
+    A bucket's rows outside its largest class (``asks``) meet all its rows, in blocks of both. Left are rows with a partner of another class
+    that the sizes and the signatures allow, and for which this is the first band on which both agree.
+    """
+    members = rows.groupBy("bk", "root").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    bucket = members.groupBy("bk").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("classes")).where("classes > 1")
+    of_most = members.select("bk", F.col("root").alias("r"), F.col("w").alias("most_w"))
+    bucket = bucket.join(of_most, (bucket["bk"] == of_most["bk"]) & (bucket["most.root"] == of_most["r"])).select(bucket["bk"], F.col("most.root").alias("major"), F.col("n"), F.col("w"), (F.col("n") - F.col("most.n")).alias("ask_n"), (F.col("w") - F.col("most_w")).alias("ask_w"))
+    bucket = bucket.select("bk", "major", blocks_of("n", "w").alias("parts"), blocks_of("ask_n", "ask_w").alias("ask_parts"))
+    some = rows.join(bucket, "bk")
+    own = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    names = ("bk", "band", "node", "size", "sig", "root")
+    asks = some.where("root <> major").select(*names, F.lit(True).alias("asks"), own("ask_parts", 1).alias("i"), every("parts").alias("j"))
+    held = some.select(*names, F.lit(False).alias("asks"), every("ask_parts").alias("i"), own("parts", 2).alias("j"))
+    dealt = asks.unionByName(held).repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in groups(batches, "bk", "i", "j"):
+            keep = np.zeros(t.num_rows, bool)
+            for s, asks, held, ok in _open_pairs(t, starts, least, enough, band_rows):
+                keep[asks], keep[held] = keep[asks] | ok.any(1), keep[held] | ok.any(0)
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def _open_pairs(t: pa.Table, starts: np.ndarray, least: float, enough: int, band_rows: int):
+    node, size, root, asks, band = (t.column(c).to_numpy() for c in ("node", "size", "root", "asks", "band"))
+    sig, asks = _signatures(t), asks.astype(bool)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+        i, j = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
+        if not len(i) or not len(j):
+            continue
+        same, first = agreements(sig[i], sig[j], band_rows)
+        ok = (same >= enough) & (first == band[i][:, None]) & (first == band[j]) & (root[i][:, None] != root[j])
+        ok &= np.minimum(size[i][:, None], size[j]) >= least * np.maximum(size[i][:, None], size[j]) - 1e-9
+        if ok.any():
+            yield s, i, j, ok
+
+
+def remaining(rows: DataFrame, docs: DataFrame, table: DataFrame, least: float, enough: int, band_rows: int, size: int, weights: str) -> DataFrame:
+    """Links (a, b) between the classes so far, all of those that the buckets of ``rows`` make candidates."""
+    few = stage(across(rows, least, enough, band_rows))
+    sets = shingle_sets(docs, table.join(few.select("node").distinct(), "node", "left_semi").select("node", "rep.*"), size, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in groups(batches, "bk", "i", "j"):
+            node, sets, done, a, b = t.column("node").to_numpy(), Sets(t), set(), [], []
+            root = t.column("root").to_numpy()
+            for _, asks, held, ok in _open_pairs(t, starts, least, enough, band_rows):
+                for x, mates in zip(asks.tolist(), ok, strict=True):
+                    others = held[mates]
+                    for y in others[sets.alike(x, others, least)].tolist() if len(others) else ():
+                        if (root[x], root[y]) not in done:  # one link joins two classes
+                            done.add((root[x], root[y]))
+                            a.append(node[x])
+                            b.append(node[y])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = few.join(sets, "node").select("bk", "i", "j", "asks", "band", "node", "size", "sig", "root", "s", "w")
+    return joined.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j", "asks").mapInArrow(run, "a long, b long")
+
+
+def classes_of_rows(docs: DataFrame, least: float = SIMILARITY, weights: str = "set", size: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row for each input row: doc_id, h (row_hash), node, root (the class; null for a null text)."""
+    k = n_bands * rows
+    enough = int(np.ceil(k * least - SLACK * (k * least * (1 - least)) ** 0.5))
+    seen = stage(nodes(docs, weights, size, k))
+    known = seen.where(F.col("node").isNotNull())
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
+    table = stage(known.where(F.col("sig").isNotNull()).groupBy("node").agg(rep, F.first("size").alias("size"), F.first("sig").alias("sig")))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))).alias("bk")))
+    buckets = table.select("node", F.explode(keys).alias("x")).select("x.bk", "x.band", "node")
+    shared = buckets.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = stage(buckets.join(shared, "bk"))
+    part = F.pmod(F.xxhash64("node", "bk"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part")
+    pairs = stage(likely_pairs(buckets.select("bk", part, "node").join(table.select("node", "size", "sig"), "node"), least, enough))
+    found = stage(verified(pairs, docs, table, least, size, weights))
+    roots = components(found)
+    named = buckets.join(roots, "node", "left").select("bk", "band", "node", F.coalesce("root", "node").alias("root"))
+    open_ = named.groupBy("bk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bk")
+    rest = named.join(open_, "bk", "left_semi").join(table.select("node", "size", "sig"), "node")
+    more = stage(remaining(rest, docs, table, least, enough, rows, size, weights))
+    discard(pairs, buckets)
+    if more.limit(1).count():
+        roots = components(found.union(more))
+    discard(found, more, table)
+    return seen.join(roots, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """A row for each input row: doc_id, class_id (the least id of its class), class_size."""
+    named = classes_of_rows(docs, **how).select("doc_id", "root")
+    known = named.where(F.col("root").isNotNull())
+    heads = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    out = known.join(heads, "root").select("doc_id", "class_id", "class_size")
+    return out.union(named.where(F.col("root").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows that stay, with all their columns: one of each class, that of its least id. Rows without a text stay."""
-    heads = classes(docs.select("doc_id", "text"), **how).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    ids = heads.groupBy("doc_id").agg(F.count("*").alias("times"))
-    one, several = ids.where("times = 1 and doc_id is not null"), ids.where("times > 1 and doc_id is not null")
-    kept = docs.join(one.select("doc_id"), "doc_id", "left_semi").select(*names)
-    again = docs.join(several.select("doc_id"), "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"])
-    return kept.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()).select(*names))
+    """The rows that stay, with all their columns: one of each class, that of its least id (null ids last). Rows without a text stay.
+
+    Dropped rows are named by id and text hash and taken out by an anti-join; texts are shuffled only if the named rows are too many to broadcast.
+    """
+    rows = stage(classes_of_rows(docs.select("doc_id", "text"), **how).where(F.col("root").isNotNull()).groupBy("root", "doc_id", "h").agg(F.count("*").alias("times")))
+    heads = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select("root", "x.*")
+    own = rows.alias("r").join(heads.alias("x"), "root").select("r.doc_id", "r.h", "times", (F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("r.h") == F.col("x.h"))).alias("stays"))
+    named = broadcast_if_small(stage(own.where("not stays or times > 1").select("doc_id", "h", "stays")))
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("n.h")) & F.col("d.text").isNotNull()
+    alone = docs.alias("d").join(named.alias("n"), same, "left_anti").select(*names)
+    # Of rows with the head's id and text one stays; the aggregate leaves one in each partition before it shuffles.
+    again = docs.alias("d").join(named.where("stays").alias("n"), same, "left_semi").select(*names)
+    return alone.unionByName(again.dropDuplicates(["doc_id", "text"]))
