@@ -17,7 +17,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import line_rules
 
-    return line_rules(_table(spark, sf_dir, "documents")).drop("text_hash", "removed")
+    return line_rules(_table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op4_mix_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Operator 9: quality rules with cross-document line frequency, in DataFrame functions only.
 
 A line is normalised (words joined by one space, lower case) and hashed together with its host. A host's distinct texts that hold the
-line are counted, so copies of a document count once. A line that more of them hold than the host's limit is boilerplate; a document
-that is left with too few words without its boilerplate is depleted and rejected.
+line are counted: exact copies of one document count once, as a text that was copied often would else turn all its own lines into
+boilerplate. A line that more of them hold than the host's limit is boilerplate; a document that is left with too few words without its
+boilerplate is depleted and rejected.
 
 Defined results: a null text has no words and fails the base rules. A null host is a host of its own. Equal rows get equal results, one
 for each row. A document that is one line, however long, is handled like any other. An empty table gives an empty table. Only the id,
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_JAVA, stage
+from .common import WORD_JAVA, broadcast_if_small, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -29,11 +30,32 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACES, " "))))
 
 
-def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Per row: key, host, ``text_hash``, the base counts, and ``lines``, its distinct lines with a word as (hash, words in all)."""
-    d = docs.select(F.col(key), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(text).alias("raw"))
+def lines_of(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``host`` and ``common``, the hashes of its lines beyond the limits: at most 1 / max_share times the lines of its average text."""
+    d = docs.select(F.col(host).alias("host"), F.col(text).alias("t"))
+    hashes = F.array_distinct(F.transform(lines_of(F.col("t")), line_hash))
+    texts = d.select("host", F.xxhash64("t").alias("th")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    held = d.select("host", F.xxhash64("t").alias("th"), F.explode(hashes).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    some = held.join(texts, held["host"].eqNullSafe(texts["host"])).where(F.col("docs") > max_share * F.col("texts"))
+    return some.groupBy(held["host"]).agg(F.collect_list("h").alias("common"))
+
+
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """Per row: ``row`` (all its columns), base counts, ``base_failed``, ``n_removed_words``, ``removed`` (hashes of its boilerplate lines), ``kept``.
+
+    A row gets its host's boilerplate by a join, so its text goes nowhere while that table is small enough to broadcast; beyond that Spark shuffles by host,
+    and adaptive execution splits a hot one.
+    """
+    common = broadcast_if_small(stage(boilerplate(docs, text, host, max_share, min_docs)))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.join(common, F.col("own").eqNullSafe(F.col("host")), "left").drop("own", "host")
     d = d.withColumn("words", F.transform(F.regexp_extract_all("t", F.lit(WORD_JAVA), F.lit(0)), lambda w: F.xxhash64(w)))
-    d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    d = d.withColumn("lines", lines_of(F.col("t")))
     m = F.greatest(F.size("words") - 2, F.lit(0))
     d = d.withColumn("windows", F.zip_with(F.zip_with(F.slice("words", 1, m), F.slice("words", 2, m), lambda a, b: F.xxhash64(a, b)), F.slice("words", 3, m), lambda p, c: F.xxhash64(p, c)))
     d = d.withColumn("repeated", F.size("windows") > F.size(F.array_distinct("windows")))
@@ -43,56 +65,40 @@ def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     d = d.withColumn("starts", F.when(F.col("repeated"), F.sort_array(F.array_compact(twice))))
     gaps = F.zip_with(F.slice("starts", 1, F.size("starts") - 1), F.slice("starts", 2, F.size("starts") - 1), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.aggregate(gaps, F.lit(0), lambda s, x: s + x) + 3
-    sized = F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD_JAVA)).alias("n")))
-    d = d.withColumn("sized", sized)
-    n_words = F.size("words").cast("long")
-    return d.select(
-        key,
-        "host",
-        F.xxhash64("raw").alias("text_hash"),
-        n_words.alias("n_words"),
+    d = d.withColumn("sized", F.when(F.col("common").isNotNull(), F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD_JAVA)).alias("n")))))
+    d = d.withColumn("removed", F.coalesce(F.array_intersect(F.transform("sized", lambda x: x["h"]), "common"), F.array().cast("array<bigint>")))
+    cut = F.aggregate(F.filter("sized", lambda x: F.array_contains("removed", x["h"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    d = d.select(
+        "row",
+        F.size("words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("repeated"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.col("sized").alias("lines"),
+        F.coalesce(F.when(F.size("removed") > 0, cut), F.lit(0)).cast("long").alias("n_removed_words"),
+        "removed",
     )
+    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+    left = F.col("n_words") - F.col("n_removed_words")
+    return d.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
+
+
+def line_rules(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """Per row: key, base counts, ``base_failed``, ``n_removed_words``, ``removed`` and ``kept``."""
+    return verdicts(docs, **how).select(F.col("row")[key].alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "removed", "kept")
 
 
-def line_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """Per row: key, ``text_hash``, base counts, ``base_failed``, ``n_removed_words``, ``removed`` (hashes of its boilerplate lines), ``kept``."""
-    base = stage(base_rules(docs, key, text, host))
-    texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
-    lines = base.select(key, "host", "text_hash", F.explode("lines").alias("x")).select(key, "host", "text_hash", F.xxhash64("host", "x.h").alias("hk"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    held = lines.select("host", "hk", "text_hash").distinct().groupBy("hk", "host").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    common = held.join(texts, held["host"].eqNullSafe(texts["host"])).where(F.col("docs") > max_share * F.col("texts")).select("hk", F.lit(True).alias("common"))
-    # A row's share of removed words is the same however often the row is repeated.
-    found = lines.join(common, "hk").groupBy(key, "text_hash").agg(F.sum("n").alias("cut"), F.collect_set("h").alias("removed"))
-    times = base.groupBy(key, "text_hash").agg(F.count("*").alias("times")).where("times > 1")
-    found = found.join(times, [found[key].eqNullSafe(times[key]), found["text_hash"] == times["text_hash"]], "left").select(found[key].alias("k"), found["text_hash"].alias("th"), (F.col("cut") / F.coalesce("times", F.lit(1))).cast("long").alias("cut"), "removed")
-    out = base.join(found, [base[key].eqNullSafe(found["k"]), base["text_hash"] == found["th"]], "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    cut = F.coalesce("cut", F.lit(0)).cast("long")
-    left = F.col("n_words") - cut
-    return out.select(
-        base[key],
-        base["text_hash"],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        cut.alias("n_removed_words"),
-        F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
-        (~failed & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words"))).alias("kept"),
-    )
-
-
-def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", length: str = "n_chars", **limits) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", length: str = "n_chars", **how) -> DataFrame:
     """The kept rows with all their columns, without their boilerplate lines; ``length``, if there, follows the text."""
-    verdict = line_rules(docs, key, text, host, **limits).where("kept").select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("removed").alias("__removed")).dropDuplicates(["__k", "__h"])
-    joined = docs.withColumn("__th", F.xxhash64(F.col(text))).join(verdict, [F.col(key).eqNullSafe(F.col("__k")), F.col("__th") == F.col("__h")])
-    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(F.col("__removed"), line_hash(x)))), "\n")
-    new = F.when(F.size("__removed") > 0, cleaned).otherwise(F.col(text))
-    cols = {text: new} | ({length: F.when(F.size("__removed") > 0, F.char_length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length in docs.columns else {})
-    return joined.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    # A filter on ``kept`` would be pushed below the projection and compute all counts twice; exploding one row or none is not.
+    found = verdicts(docs, text, **how).select(F.explode(F.when(F.col("kept"), F.array(F.struct("row", "removed")))).alias("x")).select("x.*")
+    old = F.col("row")[text]
+    cleaned = F.array_join(F.filter(F.split(old, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("removed", line_hash(x)))), "\n")
+    new = F.when(F.size("removed") > 0, cleaned).otherwise(old)
+    cols = {text: new}
+    if length in docs.columns:
+        cols[length] = F.when(F.size("removed") > 0, F.char_length(new).cast(docs.schema[length].dataType)).otherwise(F.col("row")[length])
+    return found.select(*[cols.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 SQL = rf"""
