@@ -5,7 +5,7 @@ latent-semantic vector: log counts times inverse document frequency, projected o
 labelled rows that vote. Every document meets all voters in blocks of exact cosine products; the nearest vote, weighted by similarity.
 
 The voters are a sample of labelled rows of at most ``voters`` (the bound of what the driver holds and broadcasts: voters x dims floats),
-those with the least hash of the id. Everything else covers all documents and whole texts.
+those with the least hash of id, text and label. Everything else covers all documents and whole texts.
 
 Defined results: a null or blank text scores the share of label 1 among the voters. Without any voter every score is 0.5. Null labels
 don't vote; a document labelled differently in several rows votes with each. Equal texts score alike. An empty table gives an empty table.
@@ -109,17 +109,25 @@ def fold(key):
     return F.crc32(key.cast("string").cast("binary")) % 5
 
 
+def held_out(key):
+    """A row without an id is in no fold, so it is not held out."""
+    return F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", voters: int = VOTERS, dims: int = DIMS, nearest: int = NEAREST) -> Model:
     """The model from the labelled rows outside the held-out fold: at most ``voters`` of them."""
-    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    some = some.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(voters)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.struct("doc_id", "label").alias("who"), "text")
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    # Voters are different (id, text, label): repeated rows and labels without a document take no place, and no id sends more than its texts.
+    voting = texts.select("doc_id", "h").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id", "h", "label"), "doc_id", "h", "label").limit(voters)
+    held = texts.join(F.broadcast(voting), ["doc_id", "h"]).select(F.struct("doc_id", "h", "label").alias("who"), "text")  # at most voters rows
 
     def make():
         f = Featurizer()
-        return lambda keys, texts: {"doc_id": keys.field("doc_id"), "label": keys.field("label"), "counts": [r.tobytes() for r in f(texts)]}
+        return lambda keys, texts: {c: keys.field(c) for c in ("doc_id", "h", "label")} | {"counts": [r.tobytes() for r in f(texts)]}
 
-    rows = sorted(map(tuple, map_text(texts, make, "doc_id long, label int, counts binary", key="who").collect()))[: 2 * voters]  # bounded by the voters
+    found = map_text(held, make, "doc_id long, h long, label int, counts binary", key="who").groupBy("doc_id", "h", "label").agg(F.first("counts").alias("counts"))
+    rows = sorted((r.doc_id, r.label, r.counts) for r in found.collect())  # one for each voter
     counts = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, TERMS)
     return Model(counts, np.array([r[1] for r in rows], np.float32), dims, nearest)
 
@@ -138,4 +146,4 @@ def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.3 on)."""
     scored = score_quality(docs, fit(docs, labels, **how))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
