@@ -7,24 +7,25 @@ The model is fitted on at most ``sample`` labelled rows (those with the least ha
 executors and fall in a fixed number of buckets, so the model's size is fixed by languages x buckets.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if nothing was learned. Ties go to the first language
-by name. Equal texts get equal results. An empty table gives an empty table. Only the id, the text and (to learn) the language are read.
+by name. Equal texts get equal results. A row without an id is not held out, and nothing is learned from it. An empty table gives an empty table. Only the id, the text and (to learn) the language are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text
-from .quality import fold
+from .quality import fold, held_out
 
 SAMPLE, BUCKETS, SWITCH = 6000, 1 << 15, 6.0
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters (Unicode category L): numerals such as a half or a raised two are none.
+LETTERS = regex.compile(r"\p{L}+")
 #: Scripts by ranges of code points.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -230,4 +231,4 @@ def language_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
 def document_languages(docs: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    return identify(docs, fit(docs, **how)).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, fit(docs, **how)).select("doc_id", held_out(F.col("doc_id")), "lang_pred", "score")
