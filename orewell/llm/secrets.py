@@ -133,7 +133,7 @@ def is_openssh_key(b: bytes) -> bool:
 
 
 def is_token(s: str) -> bool:
-    """A signed token: header and claims decode to JSON objects, and the header names an algorithm."""
+    """A signed token: header and claims decode to JSON objects, the header names an algorithm other than none, and there is a signature."""
     head, claims, signature = s.split(".")
     for part in (head, claims):
         raw = decode64(part)
@@ -143,7 +143,7 @@ def is_token(s: str) -> bool:
             return False
         if not isinstance(obj, dict) or (part is head and not isinstance(obj.get("alg"), str)):
             return False
-    return bool(signature) or json.loads(decode64(head))["alg"].lower() == "none"
+    return bool(signature) and json.loads(decode64(head))["alg"].lower() != "none"
 
 
 def _kind_of(b: bytes | None) -> str | None:
