@@ -141,19 +141,17 @@ class TextEncoder:
     pre-token, as words repeat (up to a fixed bound of remembered ones). Any other text goes through the library's whole pipeline. The ids
     are the same either way; tests compare them.
 
-    With ``special``, the library's default and what the operators use, literals of added tokens are cut out as these tokens; a text
-    that may hold one goes through the whole pipeline. Without it they are text like any other.
+    Literals of added tokens are cut out as these tokens, the library's default; a text that may hold one goes through the whole pipeline.
     """
 
-    def __init__(self, path: str, bound: int = 500_000, special: bool = False):
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        literals = [re.escape(t["content"]) for t in spec["added_tokens"] if special or not t["special"]]
+        literals = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.added = re.compile("|".join(literals), re.I).search if literals else lambda x: None
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         latin = [chr(c) for c in range(0x250)]
