@@ -24,7 +24,7 @@ def normalize_line(line: Column) -> Column:
 
 def strip_literals(line: Column) -> Column:
     """Without escapes, strings and comments."""
-    for pattern, new in ((r"\\.", ""), (r"'[^']*'|\"[^\"]*\"|`[^`]*`", "''"), (r"//.*$", ""), (r"/\*.*?\*/", "")):
+    for pattern, new in ((r"\\.", ""), (r"'[^']*'", "''"), (r'"[^"]*"', '""'), (r"`[^`]*`", "``"), (r"//.*$", ""), (r"#.*$", "")):
         line = F.regexp_replace(line, pattern, new)
     return line
 

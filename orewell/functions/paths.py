@@ -90,10 +90,10 @@ def flags(path: Column, lang: Column) -> dict[str, Column]:
 
 
 def glob_to_regex(glob: str) -> str:
-    """An ignore-file glob as an anchored pattern: a leading slash or an inner one anchors it, a final slash means the folder's content."""
+    """An ignore-file glob as an anchored pattern: a leading slash or an inner one anchors it; it means a file, or a folder and its content."""
     anchored = "/" in glob.rstrip("/")
     body, i = "", 0
-    g = glob.strip("/") + ("/**" if glob.endswith("/") else "")
+    g = glob.strip("/")
     while i < len(g):
         if g.startswith("**/", i):
             body, i = body + "(?:.*/)?", i + 3
@@ -106,6 +106,6 @@ def glob_to_regex(glob: str) -> str:
 
 
 def in_scope(rule_id: Column, scopes: Column) -> Column:
-    """A scope names a rule, a family (``sec.``) or a prefix (``sec.*``); no scope means every rule."""
-    star = lambda s: s.endswith("*") & rule_id.startswith(F.rtrim(s, F.lit("*")))
-    return (F.size(scopes) == 0) | F.exists(scopes, lambda s: (rule_id == s) | star(s) | rule_id.startswith(F.concat(s, F.lit("."))))
+    """A scope names a rule, or a prefix of rules if it ends in a dot or a star; no scope means every rule."""
+    prefix = lambda s: (s.endswith("*") & rule_id.startswith(F.regexp_replace(s, r"\*$", ""))) | (s.endswith(".") & rule_id.startswith(s))
+    return (F.size(scopes) == 0) | F.exists(scopes, lambda s: (rule_id == s) | prefix(s))

@@ -40,36 +40,32 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("scan_id", "path", F.posexplode(F.split("content", "\n")).alias("i", "line")).select("scan_id", "path", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def search(files: DataFrame, rules: list[Rule], per_file: int = PER_FILE) -> DataFrame:
-    """Matches of all rules: rule_id, scan_id, path, line, column, text (the line), match.
+#: Flags of files that no rule looks into, unless it says so.
+SKIPPED = ("is_vendor", "is_generated", "is_test")
+HIT = "array<struct<rule:int,line:int,column:int,match:string,text:string,keep:boolean>>"
 
-    Each file's lines stay in one array, so windows of joined lines and nearby lines are slices of it and need no shuffle; only matches, which
-    the caps bound for each file, are ranked across files. A match that several windows see counts once, at its first window.
-    """
-    f = files_with_lines(files)
-    marked = lambda r, k: F.transform(_hits(r), lambda m: m.withField("rule", F.lit(k)))
-    hits = [marked(r, k) for k, r in enumerate(rules)]
-    out = f.select("scan_id", "path", "lines", F.explode(F.flatten(F.array(*hits))).alias("m"))
-    dims = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(k), F.struct(F.lit(r.id).alias("id"), F.lit(r.per_scan).alias("cap")))])
-    out = out.withColumn("r", dims[F.col("m.rule")])
-    in_scan = Window.partitionBy("scan_id", "m.rule").orderBy("path", "m.line", "m.column")
-    in_file = Window.partitionBy("scan_id", "m.rule", "path").orderBy("m.line", "m.column")
-    out = out.withColumn("n", F.row_number().over(in_file)).where(F.col("n") <= per_file).withColumn("n", F.row_number().over(in_scan)).where(F.col("n") <= F.col("r.cap"))
-    keep = F.lit(True)
-    for k, r in enumerate(rules):
-        mine = F.col("m.rule") == k
-        if r.exclude:
-            keep = keep & ~(mine & F.get("lines", F.col("m.line") - 1).rlike(r.exclude))
-        if r.nearby:
-            pattern, before, after, must = r.nearby
-            first = F.greatest(F.col("m.line") - before, F.lit(1))
-            near = F.array_join(F.slice("lines", first, F.col("m.line") + after - first + 1), "\n").rlike(pattern)
-            keep = keep & ~(mine & (~near if must else near))
-    return out.where(keep).select(F.col("r.id").alias("rule_id"), "scan_id", "path", F.col("m.line").alias("line"), F.col("m.column").alias("column"), F.get("lines", F.col("m.line") - 1).alias("text"), F.col("m.match").alias("match"))
 
+def search(files: DataFrame, rules: list[Rule], per_file: int = PER_FILE, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """Matches of all rules: rule_id, scan_id, path, line, column, text (the lines matched), match.
 
-def _hits(r: Rule):
-    """The matches of one rule in one file as array<struct<line, column, match>>, at most PER_FILE of them."""
+    A file's matches are found, capped and tested (exclude, nearby) inside its own row, where its lines are one array; only matches leave it. Files with a flag of ``skip``
+    are left out. The cap of a scan counts matches before exclude and nearby; ranks need small keys only, and Spark cuts them in each partition before the shuffle.
+    A match that several windows of joined lines see counts once, at its first window.
+    """
+    f = files_with_lines(files)
+    for flag in skip:
+        f = f.where(f"not {flag}")
+    hits = [F.transform(_hits(r, per_file), lambda m: m.withField("rule", F.lit(k))) for k, r in enumerate(rules)]  # noqa: B023  called at once
+    out = f.select("scan_id", "path", F.explode(F.flatten(F.array(*hits))).alias("m")).select("scan_id", "path", "m.*")
+    caps = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (k, r.per_scan)])
+    ids = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (k, r.id)])
+    place = F.row_number().over(Window.partitionBy("scan_id", "rule").orderBy("path", "line", "column"))
+    ranked = out.withColumn("n", place).where(F.col("n") <= max(r.per_scan for r in rules)).where((F.col("n") <= caps[F.col("rule")]) & F.col("keep"))
+    return ranked.select(ids[F.col("rule")].alias("rule_id"), "scan_id", "path", "line", "column", "text", "match")
+
+
+def _hits(r: Rule, per_file: int):
+    """The first ``per_file`` matches of one rule in one file."""
     ok = F.lit(True)
     if r.languages:
         ok = ok & F.col("language").isin(*r.languages)
@@ -77,21 +73,36 @@ def _hits(r: Rule):
         ok = ok & F.col("path").rlike(r.path)
     if r.path_not:
         ok = ok & ~F.col("path").rlike(r.path_not)
+    none = F.array().cast("array<struct<line:int,column:int,match:string>>")
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
     def one(line, i):
         text = line if r.join_lines == 1 else F.array_join(F.slice("lines", i + 1, F.lit(r.join_lines)), "\n")
-        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-        gaps = F.split(text, r.pattern, -1)
-        at = lambda k: F.aggregate(F.slice(gaps, 1, k + 1), F.lit(1), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda s, g: s + F.length(g))
+        found = F.slice(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), 1, per_file)
+        gaps = F.split(text, r.pattern, per_file + 1)
+        at = lambda k: F.aggregate(F.slice(gaps, 1, k + 1), F.lit(1), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda s, g: s + F.length(g))  # noqa: E731  k < per_file
         place = F.transform(found, lambda m, k: F.struct(m.alias("match"), at(k).alias("p")))
         before = lambda p: F.substring(text, F.lit(1), p - 1)
-        line_of = lambda p: i + 1 + F.length(before(p)) - F.length(F.replace(before(p), F.lit("\n"), F.lit("")))
-        column_of = lambda p: F.length(F.substring_index(F.concat(F.lit("\n"), before(p)), "\n", -1)) + 1
         many = r.join_lines > 1
-        spans = F.transform(place, lambda x: F.struct((line_of(x["p"]) if many else i + 1).cast("int").alias("line"), (column_of(x["p"]) if many else x["p"]).cast("int").alias("column"), x["match"].alias("match")))
-        return F.when((F.length(text) <= SPAN_CHARS * r.join_lines) & text.rlike(r.pattern), spans).otherwise(F.array().cast("array<struct<line:int,column:int,match:string>>"))
+        line_of = lambda p: i + 1 + newlines(before(p)) if many else i + 1
+        column_of = lambda p: F.length(F.substring_index(F.concat(F.lit("\n"), before(p)), "\n", -1)) + 1 if many else p
+        spans = F.transform(place, lambda x: F.struct(line_of(x["p"]).cast("int").alias("line"), column_of(x["p"]).cast("int").alias("column"), x["match"].alias("match")))
+        return F.when((F.length(text) <= SPAN_CHARS * r.join_lines) & text.rlike(r.pattern), spans).otherwise(none)
 
     found = F.flatten(F.transform("lines", one))
     if r.join_lines > 1:
         found = F.array_distinct(found)
-    return F.when(ok, found).otherwise(F.array().cast("array<struct<line:int,column:int,match:string>>"))
+
+    def tested(m):
+        text = F.array_join(F.slice("lines", m["line"], newlines(m["match"]) + 1), " ")
+        keep = F.lit(True)
+        if r.exclude:
+            keep = keep & ~text.rlike(r.exclude)
+        if r.nearby:
+            pattern, lines_before, lines_after, must = r.nearby
+            first = F.greatest(m["line"] - lines_before, F.lit(1))
+            near = F.array_join(F.slice("lines", first, m["line"] + lines_after - first + 1), "\n").rlike(pattern)
+            keep = keep & (near if must else ~near)
+        return F.struct(F.lit(0).alias("rule"), m["line"].alias("line"), m["column"].alias("column"), m["match"].alias("match"), text.alias("text"), keep.alias("keep"))
+
+    return F.when(ok, F.transform(F.slice(found, 1, per_file), tested)).otherwise(F.array().cast(HIT))

@@ -43,6 +43,7 @@ FLAGS = {
     "is_code": f"({LANG}) IN ({', '.join(repr(x) for x in P.CODE_LANGUAGES)})",
 }
 FILES = "f AS (SELECT scan_id, path, content, size, language, " + ", ".join(f"{v} AS {k}" for k, v in FLAGS.items()) + f" FROM (SELECT *, {LANG} AS language FROM v_files))"
+SEARCHED = "l AS (SELECT scan_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM f WHERE NOT is_vendor AND NOT is_generated AND NOT is_test)"
 LINES = "l AS (SELECT scan_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM v_files)"
 SOURCE = "is_code AND NOT is_vendor AND NOT is_generated AND NOT is_test AND NOT is_doc"
 
@@ -159,7 +160,7 @@ def rules_sql(rules: list[Rule]) -> str:
         if r.nearby:
             pattern, before, after, must = r.nearby
             filters.append(f"(rule_id <> '{r.id}' OR {'' if must else 'NOT '}EXISTS (SELECT 1 FROM l n WHERE n.scan_id = c2.scan_id AND n.path = c2.path AND n.line_no BETWEEN c2.line_no - {before} AND c2.line_no + {after} AND regexp_matches(n.line, '{pattern}')))")
-    return f"""{LINES}, a AS ({' UNION ALL '.join(hits)}),
+    return f"""{FILES}, {SEARCHED}, a AS ({' UNION ALL '.join(hits)}),
     e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM a),
     c0 AS (SELECT rule_id, cap, scan_id, path, line_no, line, ms[k] AS match, 1 + list_sum(list_transform(gs[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda g: length(g))), 0) AS col FROM e),
     c1 AS (SELECT *, row_number() OVER (PARTITION BY rule_id, scan_id, path ORDER BY line_no, col) AS in_file FROM c0),
@@ -210,11 +211,11 @@ def flt_snippet(t: Tables) -> DataFrame:
 WIDE = Rule("txt.wide", r"[.]\n[A-Z][a-z]+ [a-z]+", join_lines=2, per_scan=30)
 
 
-@query(f"""WITH {LINES}, w AS (SELECT *, lead(line) OVER (PARTITION BY scan_id, path ORDER BY line_no) AS next FROM l),
+@query(f"""WITH {FILES}, {SEARCHED}, w AS (SELECT *, lead(line) OVER (PARTITION BY scan_id, path ORDER BY line_no) AS next FROM l),
     m AS (SELECT scan_id, path, line_no, line, next, regexp_extract(line || chr(10) || next, '[.]\\n[A-Z][a-z]+ [a-z]+') AS match FROM w WHERE next IS NOT NULL AND length(line) + length(next) + 1 <= 4000),
     c AS (SELECT *, row_number() OVER (PARTITION BY scan_id, path ORDER BY line_no) AS in_file FROM m WHERE match <> ''),
     d AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path, line_no) AS in_scan FROM c WHERE in_file <= 4)
-    SELECT 'txt.wide' AS rule_id, scan_id, path, CAST(line_no AS INT) AS line, CAST(length(line) AS INT) AS "column", line AS text, match FROM d WHERE in_scan <= 30""")
+    SELECT 'txt.wide' AS rule_id, scan_id, path, CAST(line_no AS INT) AS line, CAST(length(line) AS INT) AS "column", line || ' ' || next AS text, match FROM d WHERE in_scan <= 30""")
 def flt_search_window(t: Tables) -> DataFrame:
     """A pattern over joined lines."""
     return search(_files(t), [WIDE])
@@ -302,7 +303,12 @@ def fn_normalize_line(t: Tables) -> DataFrame:
     return lines(t.v_files).select("path", "line_no", C.normalize_line(F.col("line")).alias("norm"))
 
 
-@query(f"""WITH {LINES} SELECT path, CAST(line_no AS INT) AS line_no, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\\\.', '', 'g'), '''[^'']*''|"[^"]*"|`[^`]*`', '''''', 'g'), '//.*$', '', 'g'), '/\\*.*?\\*/', '', 'g')) AS bare FROM l""")
+BARE = "line"
+for _pattern, _new in ((r"\\.", ""), ("''[^'']*''", "''''"), ('"[^"]*"', '""'), ("`[^`]*`", "``"), ("//.*$", ""), ("#.*$", "")):
+    BARE = f"regexp_replace({BARE}, '{_pattern}', '{_new}', 'g')"
+
+
+@query(f"WITH {LINES} SELECT path, CAST(line_no AS INT) AS line_no, md5({BARE}) AS bare FROM l")
 def fn_strip_literals(t: Tables) -> DataFrame:
     return lines(t.v_files).select("path", "line_no", F.md5(C.strip_literals(F.col("line")).cast("binary")).alias("bare"))
 
@@ -313,43 +319,11 @@ def fn_decisions(t: Tables) -> DataFrame:
     return t.v_files.select("path", C.decisions(F.col("content")).cast("long").alias("decisions"))
 
 
-DUPS = f"""s AS (SELECT scan_id, path, line_no, norm, row_number() OVER (PARTITION BY scan_id, path ORDER BY line_no) - 1 AS rn FROM (SELECT scan_id, path, line_no, {NORM} AS norm FROM (SELECT *, {TRIMMED} AS tr FROM l)) WHERE norm IS NOT NULL),
-    b AS (SELECT scan_id, path, rn // 2 AS w, min(line_no) AS start_line, string_agg(norm, chr(10) ORDER BY line_no) AS block, count(*) AS n FROM s GROUP BY ALL),
-    g AS (SELECT scan_id, substr(sha1(block), 1, 16) AS fingerprint, count(*) AS occurrences, count(DISTINCT path) AS files, min(path || ':' || start_line) AS first FROM b WHERE n = 2 GROUP BY ALL HAVING count(*) >= 2),
-    d AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY occurrences DESC, fingerprint) AS place FROM g)"""
-
-
-def duplicate_blocks(t: Tables, window: int = 2, top: int = 40) -> DataFrame:
-    """Equal groups of ``window`` significant lines (tumbling), by fingerprint. Prose has few lines, so the window is two here; six for code."""
-    s = lines(t.v_files).withColumn("norm", C.normalize_line(F.col("line"))).where("norm is not null")
-    s = s.withColumn("w", F.floor((F.row_number().over(Window.partitionBy("scan_id", "path").orderBy("line_no")) - 1) / window))
-    b = s.groupBy("scan_id", "path", "w").agg(F.min("line_no").alias("start_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"]), "\n").alias("block"), F.count("*").alias("n")).where(F.col("n") == window)
-    g = b.groupBy("scan_id", F.substring(F.sha1("block"), 1, 16).alias("fingerprint")).agg(F.count("*").alias("occurrences"), F.count_distinct("path").alias("files"), F.min(F.concat_ws(":", "path", "start_line")).alias("first")).where("occurrences >= 2")
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("occurrences"), "fingerprint"))).where(F.col("place") <= top)
-
-
-@query(f"WITH {LINES}, {DUPS} SELECT scan_id, fingerprint, occurrences, files, first, CAST(place AS INT) AS place FROM d WHERE place <= 40")
-def agg_dup_blocks(t: Tables) -> DataFrame:
-    return duplicate_blocks(t)
-
-
-@query(f"WITH {LINES}, {DUPS} SELECT scan_id, fingerprint, occurrences FROM d WHERE place <= 40 AND files > 1")
-def agg_dup_cross_file(t: Tables) -> DataFrame:
-    return duplicate_blocks(t).where("files > 1").select("scan_id", "fingerprint", "occurrences")
-
-
-@query(f"WITH {LINES}, {DUPS}, c AS (SELECT scan_id, count(*) AS loc FROM l GROUP BY scan_id) SELECT c.scan_id, round(least(1, coalesce(sum(2 * (occurrences - 1)), 0) / max(loc)), 6) AS ratio FROM c LEFT JOIN (SELECT * FROM d WHERE place <= 40) d ON c.scan_id = d.scan_id GROUP BY c.scan_id")
-def agg_dup_ratio(t: Tables) -> DataFrame:
-    loc = t.v_files.groupBy("scan_id").agg(F.sum(F.size(F.split("content", "\n"))).alias("loc"))
-    d = duplicate_blocks(t).groupBy("scan_id").agg(F.sum(2 * (F.col("occurrences") - 1)).alias("again"))
-    return loc.join(d, "scan_id", "left").select("scan_id", F.round(F.least(F.lit(1.0), F.coalesce("again", F.lit(0)) / F.col("loc")), 6).alias("ratio"))
-
-
-IGNORES = (("src/db/", (), False), ("*.py", ("txt.mail",), False), ("src/db/f1*", (), True), ("/tests/**/f*.ts", ("txt",), False))
+IGNORES = (("src/db/", (), False), ("*.py", ("txt.mail",), False), ("src/db/f1*", (), True), ("/tests/**/f*.ts", ("txt.",), False))
 
 
 @query(f"""WITH {rules_sql(TEXT_RULES)}, r AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{P.glob_to_regex(g)}', '{s[0] if s else ''}', {str(n).lower()})" for i, (g, s, n) in enumerate(IGNORES))}) v(no, pattern, scope, negated)),
-    x AS (SELECT h.rule_id, h.path, h.line, h."column", arg_max(NOT negated, no) AS suppressed FROM h JOIN r ON regexp_matches(h.path, pattern) AND (scope = '' OR rule_id = scope OR starts_with(rule_id, scope || '.')) GROUP BY ALL)
+    x AS (SELECT h.rule_id, h.path, h.line, h."column", arg_max(NOT negated, no) AS suppressed FROM h JOIN r ON regexp_matches(h.path, pattern) AND (scope = '' OR rule_id = scope OR scope LIKE '%.' AND starts_with(rule_id, scope)) GROUP BY ALL)
     SELECT h.rule_id, h.path, h.line, h."column", coalesce(suppressed, false) AS suppressed FROM h LEFT JOIN x USING (rule_id, path, line, "column")""")
 def join_suppress_glob(t: Tables) -> DataFrame:
     """Ignore rules over findings: the last rule that matches path and scope decides, and a negated one brings back. The rules are a few columns, no join."""
@@ -370,6 +344,3 @@ def det_tests(t: Tables) -> DataFrame:
     return s.select("scan_id", rule.alias("rule_id"), "tests", "sources")
 
 
-@query(f"WITH {FILES} SELECT scan_id, bool_or(is_test) AS has_tests, bool_or(regexp_matches(path, '(^|/)(\\.github/workflows|\\.circleci)/|Dockerfile$')) AS has_ci FROM f GROUP BY scan_id")
-def det_tests_ci(t: Tables) -> DataFrame:
-    return _files(t).groupBy("scan_id").agg(F.bool_or("is_test").alias("has_tests"), F.bool_or(F.col("path").rlike(r"(^|/)(\.github/workflows|\.circleci)/|Dockerfile$")).alias("has_ci"))

@@ -19,6 +19,20 @@ VIEWS = {
         || CASE doc_id % 11 WHEN 3 THEN 'd' || CAST(doc_id AS STRING) || '/Dockerfile' WHEN 4 THEN 'd' || CAST(doc_id AS STRING) || '/package' WHEN 5 THEN 'd' || CAST(doc_id AS STRING) || '/app.test' ELSE 'f' || CAST(doc_id AS STRING) END
         || CASE WHEN doc_id % 11 = 3 THEN '' ELSE CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.md' ELSE '.json' END END AS path,
         text AS content, n_chars AS size FROM documents""",
+    "v_code": """SELECT scan_id, doc_id, dir || 'f' || id || ext AS path, CASE WHEN ext = '.py' THEN py ELSE js END AS content FROM (
+        SELECT *, 'from .f' || p || ' import run' || p || nl || 'import os' || nl || 'def run' || id || '(' || args || '):' || nl || '    # ' || note || nl || repeat('    if a and b:' || nl || '        a = b' || nl, CAST(doc_id % 13 AS INT))
+            || repeat('    step(a)' || nl, CAST(doc_id * 7 % 131 AS INT)) || '    for x in a:' || nl || '        while x:' || nl || '            b()' || nl || 'class Thing' || id || ':' || nl || '    pass' || nl AS py,
+            'import { run' || p || ' } from ''./f' || p || ''';' || nl || CASE WHEN doc_id % 3 = 0 THEN 'import { run' || k2 || ' } from ''@/db/f' || k2 || ''';' || nl ELSE '' END
+            || CASE WHEN doc_id % 14 = 7 THEN 'import { run' || k5 || ' } from ''../lib/f' || k5 || ''';' || nl WHEN doc_id % 14 = 12 THEN 'import { run' || k0 || ' } from ''../app/f' || k0 || ''';' || nl ELSE '' END
+            || CASE WHEN doc_id % 5 = 0 THEN 'import lodash from ''lodash'';' || nl ELSE '' END || nl || 'export async function run' || id || '(' || args || ') {' || nl || '  // ' || note || nl || repeat('  if (a && b) { a = b; }' || nl, CAST(doc_id % 13 AS INT))
+            || repeat('  step(a);' || nl, CAST(doc_id * 7 % 131 AS INT)) || CASE WHEN doc_id % 4 = 0 THEN '  for (const x of a) { while (x) { if (x) { switch (x) { case 1: { b(); } } } } }' || nl ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN '  await step(a);' || nl ELSE '' END || '}' || nl
+            || 'export const helper' || id || ' = (x) => {' || nl || '  return x ? 1 : 2;' || nl
+            || CASE doc_id % 10 WHEN 1 THEN '  const h = createHash(''md5'');' || nl WHEN 2 THEN '  el.innerHTML = x;' || nl WHEN 3 THEN '  const agent = { rejectUnauthorized: false };' || nl WHEN 4 THEN '  eval(x);' || nl WHEN 5 THEN '  try { x(); } catch (e) { }' || nl
+                WHEN 6 THEN '  el.innerHTML = y; // audit-disable-line sec.*, perf.n-plus-one' || nl WHEN 7 THEN '  // audit-disable-next-line sec.eval-usage' || nl || '  eval(x);' || nl WHEN 8 THEN '  // audit-disable-file ai.' || nl || '  console.log(x);' || nl ELSE '' END || '}' || nl || CASE WHEN doc_id % 21 = 4 THEN 'it.skip(''later'', run);' || nl ELSE '' END AS js
+        FROM (SELECT CAST(floor(doc_id / 40.0) AS BIGINT) AS scan_id, doc_id, CAST(doc_id AS STRING) AS id, CAST(CASE WHEN doc_id < 7 THEN doc_id + 1000003 ELSE doc_id - 7 END AS STRING) AS p, CAST(doc_id - doc_id % 7 AS STRING) AS k0, CAST(doc_id - doc_id % 7 + 2 AS STRING) AS k2, CAST(doc_id - doc_id % 7 + 5 AS STRING) AS k5, chr(10) AS nl,
+            CASE WHEN doc_id % 80 = 13 THEN '.github/workflows/' ELSE CASE doc_id % 7 WHEN 0 THEN 'src/app/' WHEN 1 THEN 'src/components/' WHEN 2 THEN 'src/db/' WHEN 3 THEN 'src/auth/' WHEN 4 THEN 'tests/' WHEN 5 THEN 'src/lib/' ELSE 'src/domain/' END END AS dir,
+            CASE WHEN doc_id % 9 = 2 THEN '.py' WHEN doc_id % 7 = 4 THEN '.test.ts' ELSE '.ts' END AS ext, CASE WHEN doc_id % 8 = 0 THEN '' ELSE substr('a, b, c, d, e, f, g, h', 1, CAST(3 * (doc_id % 8) - 2 AS INT)) END AS args,
+            regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z ]', '', 'g') AS note FROM documents) x) y""",
     "v_raw_findings": """SELECT event_id AS raw_id, user_id AS scan_id, event_id % 8 AS agent_ord,
         CASE event_id % 6 WHEN 0 THEN 'sec.sql-injection' WHEN 1 THEN 'sec.eval-usage' WHEN 2 THEN 'bug.empty-catch' WHEN 3 THEN 'perf.n-plus-one' WHEN 4 THEN 'ai.console-logging' ELSE 'arch.layer-violation' END AS rule_id,
         'finding ' || CAST(event_id % 6 AS STRING) || ' ' || event_type AS title,
@@ -64,7 +78,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            text = VIEWS[name].replace(", 'g')", ")")
+            text = VIEWS[name].replace(", 'g')", ")").replace("{", "{{").replace("}", "}}")
             used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", text)]
             return self.spark.sql(re.sub(rf"\bFROM ({'|'.join(used)})\b", r"FROM {\1}", text), **{t: table(self.spark, self.sf_dir, t) for t in used})
         if name in TABLES:
@@ -90,7 +104,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import files, findings, graphs, history, packages, streams  # noqa: F401  each registers its queries
+    from . import audit, files, findings, graphs, history, packages, streams, structure  # noqa: F401  each registers its queries
 
 
 _load()
