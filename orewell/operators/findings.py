@@ -53,7 +53,7 @@ CAUSE_ALIASES = {
     "react-reconciliation": "client-rendering-cost",
     "bundle-weight": "client-rendering-cost",
 }
-BUCKET_LINES, MAX_CONFIDENCE, JOINT = 5, 0.97, 0.92
+BUCKET_LINES, MAX_CONFIDENCE, JOINT, EVIDENCE, PLACES = 5, 0.97, 0.92, 8, 12
 
 
 def issue_class(rule_id: Column) -> Column:
@@ -78,25 +78,30 @@ def noisy_or(agents: DataFrame, keys: list[str], confidence: str = "confidence",
     return out.select(*keys, "agents", F.when(F.col("agents") == 1, F.col("top")).otherwise(joint).alias("confidence"))
 
 
-def merge_findings(raw: DataFrame, scan: str = "scan_id") -> DataFrame:
+def merge_findings(raw: DataFrame, scan: str = "scan_id", evidence: Column | None = None) -> DataFrame:
     """Raw findings (raw_id, agent_ord, rule_id, title, severity, confidence, path, start_line, effort_minutes, root_cause) to one row for each (scan, key).
 
-    The primary is the worst severity, then the first agent, then the first id; its rule, effort and cause stand for the group. Lists of other
-    places keep the first twelve. Aggregates are partial before the shuffle; only lists of one group meet in a task.
+    The primary has the most ``evidence`` (an array of strings, by default the place), then the worst severity, then the first agent and id; its rule, effort and
+    cause stand for the group. Of different evidence the first eight are kept, and of the other members' places the first twelve. Members meet first
+    by agent, which also gives the joint confidence: one pass, then one over a few rows for each group.
     """
-    keyed = raw.withColumn("dedupe_key", dedupe_key(F.col("rule_id"), F.col("title"), F.col("path"), F.col("start_line"))).withColumn("sev", severity_ord(F.col("severity")))
-    first = F.struct("sev", "agent_ord", "raw_id")
-    main = keyed.groupBy(scan, "dedupe_key").agg(
-        F.min("sev").alias("sev"),
-        F.count("*").alias("n_raw"),
-        F.min_by(F.struct("rule_id", "effort_minutes", "root_cause", "path", "start_line", "category"), first).alias("p"),
-        F.array_sort(F.collect_set("agent_ord")).alias("detected_by"),
-        F.array_size(F.collect_set(F.concat_ws(":", "path", "start_line"))).alias("places"),
-    )
-    joint = noisy_or(keyed, [scan, "dedupe_key"])
-    return main.join(joint.select(scan, "dedupe_key", "confidence"), [scan, "dedupe_key"]).select(
+    held = F.array(F.concat_ws(":", "path", "start_line")) if evidence is None else evidence
+    keyed = raw.withColumn("dedupe_key", dedupe_key(F.col("rule_id"), F.col("title"), F.col("path"), F.col("start_line"))).withColumn("sev", severity_ord(F.col("severity"))).withColumn("held", held)
+    rank = F.struct((-F.size("held")).alias("e"), "sev", "agent_ord", "raw_id")
+    member = F.struct("raw_id", "rule_id", "effort_minutes", "root_cause", "path", "start_line", "category")
+    place = F.struct("path", "start_line")
+    by_agent = keyed.groupBy(scan, "dedupe_key", "agent_ord").agg(
+        F.min("sev").alias("sev"), F.count("*").alias("n"), F.max("confidence").alias("c"), F.min(rank).alias("rank"), F.min_by(member, rank).alias("p"), F.collect_set(place).alias("places"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("evidence"),
+    )
+    joint = F.least(F.lit(MAX_CONFIDENCE), F.greatest(F.max("c"), 1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(1 - 1e-12))))) * JOINT))
+    out = by_agent.groupBy(scan, "dedupe_key").agg(
+        F.min("sev").alias("sev"), F.sum("n").alias("n_raw"), F.min_by("p", "rank").alias("p"), F.array_sort(F.collect_set("agent_ord")).alias("detected_by"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, EVIDENCE).alias("evidence"), F.when(F.count("*") == 1, F.max("c")).otherwise(joint).alias("confidence"),
+    )
+    others = F.slice(F.filter("places", lambda x: ~((x["path"] == F.col("p.path")) & x["start_line"].eqNullSafe(F.col("p.start_line")))), 1, PLACES)
+    return out.select(
         scan, "dedupe_key", severity_of(F.col("sev")).alias("severity"), "n_raw", "p.rule_id", "p.effort_minutes", canonical_cause(F.col("p.root_cause")).alias("root_cause"), "p.path", "p.start_line", "p.category",
-        "detected_by", F.least(F.col("places") - 1, F.lit(12)).alias("other_places"), F.round("confidence", 6).alias("confidence"),
+        "detected_by", others.alias("other_places"), "evidence", F.round("confidence", 6).alias("confidence"),
     )
 
 

@@ -9,8 +9,9 @@ from ..functions.code import trimmed
 from ..functions.scores import severity_of, severity_ord
 from ..functions.versions import clean_version, semver
 
-# Licences that need a look.
-RISKY_LICENCES = ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "SSPL-1.0", "BUSL-1.1", "CC-BY-NC-4.0", "UNLICENSED")
+# Licences that need a look, and how much they weigh.
+LICENCE_RISK = {"AGPL-3.0": "high", "AGPL-3.0-only": "high", "AGPL-3.0-or-later": "high", "GPL-3.0": "medium", "GPL-2.0": "medium", "LGPL-3.0": "low", "SSPL-1.0": "high", "BUSL-1.1": "high", "CC-BY-NC-4.0": "high"}
+RISKY_LICENCES = tuple(LICENCE_RISK)
 
 
 def one_each(packages: DataFrame) -> DataFrame:
@@ -90,3 +91,24 @@ def _numbered(files: DataFrame) -> DataFrame:
 
 def _upto():
     return Window.partitionBy("scan_id", "path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+
+
+UNPINNED = ("unpinned", "*", "latest")
+
+
+def findings(own: DataFrame, advisories: DataFrame, registry: DataFrame, declared: DataFrame, locked: DataFrame) -> DataFrame:
+    """scan_id, rule_id, name, severity: known vulnerabilities of ``own`` packages, unpinned ones of ``declared``, npm scans without a lock file (``locked``: scan_id), licences to review."""
+    row = lambda rule, name, severity: ("scan_id", F.lit(rule).alias("rule_id"), name.alias("name"), severity.alias("severity"))
+    worst = F.when(F.col("dev") & (F.col("severity") == "critical"), "high").otherwise(F.col("severity"))
+    out = with_advisories(own, advisories).select(*row("dep.known-vulnerability", F.col("name"), worst))
+    out = out.unionByName(declared.where(F.col("version").isin(*UNPINNED)).select(*row("dep.unpinned-version", F.col("name"), F.lit("medium"))))
+    out = out.unionByName(own.where("ecosystem = 'npm'").select("scan_id").distinct().join(locked, "scan_id", "left_anti").select(*row("dep.missing-lockfile", F.lit("package.json"), F.lit("medium"))))
+    risk = F.create_map(*[F.lit(x) for kv in LICENCE_RISK.items() for x in kv])[F.col("licence")]
+    return out.unionByName(own.where("not dev").join(registry, ["ecosystem", "name"]).withColumn("risk", risk).where("risk is not null").select(*row("dep.license-review", F.col("name"), F.col("risk"))))
+
+
+def unused(own: DataFrame, usage: DataFrame, least: int = 3, named: int = 6) -> DataFrame:
+    """scan_id, packages, names (the first ones): runtime packages without an importer (``usage``: scan_id, package), if there are several."""
+    idle = own.where("not dev").join(usage.select("scan_id", F.col("package").alias("name")).distinct(), ["scan_id", "name"], "left_anti")
+    g = idle.groupBy("scan_id").agg(F.count("*").alias("packages"), F.sort_array(F.collect_list("name")).alias("names")).where(F.col("packages") >= least)
+    return g.select("scan_id", "packages", F.array_join(F.slice("names", 1, named), ",").alias("names"))

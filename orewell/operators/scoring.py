@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import CATEGORY_WEIGHT, ceiling, clamp, damp, deduction, lookup, severity_of, severity_ord
+from ..functions.scores import CATEGORY_WEIGHT, SEVERITY_POINTS, TIER_CEILING, ceiling, clamp, damp, deduction, lookup, severity_of, severity_ord
 
 
-def structural(spec: Column | None = None) -> dict[str, Column]:
+# Points for missing tests, and (limit, factor, most) of what is measured.
+NO_TESTS, TEST_RATIO, COVERAGE, DUPLICATION, COMPLEXITY, DEAD_CODE = 45.0, (0.3, 80), (0.6, 40), (0.05, 150, 20.0), (8, 3, 15.0), (10, 4, 15.0)
+
+
+def structural() -> dict[str, Column]:
     """Points of a category that come from the scan's metrics, not from findings: columns test_files, test_ratio, coverage, duplication, avg_complexity, dead_code_count."""
     up = lambda x: F.floor(x + 0.5)
     zero = F.lit(0.0)
-    tests = F.when(F.col("test_files") == 0, F.lit(45.0)).when(F.col("test_ratio") < 0.3, up((0.3 - F.col("test_ratio")) * 80)).otherwise(zero)
-    cover = F.when(F.col("coverage") < 0.6, up((0.6 - F.col("coverage")) * 40)).otherwise(zero)
-    dup = F.when(F.col("duplication") > 0.05, up(F.least(F.lit(20.0), F.col("duplication") * 150))).otherwise(zero)
-    branchy = F.when(F.col("avg_complexity") > 8, up(F.least(F.lit(15.0), (F.col("avg_complexity") - 8) * 3))).otherwise(zero)
-    dead = F.when(F.col("dead_code_count") > 10, F.least(F.lit(15.0), up(F.col("dead_code_count") / 4))).otherwise(zero)
+    tests = F.when(F.col("test_files") == 0, F.lit(NO_TESTS)).when(F.col("test_ratio") < TEST_RATIO[0], up((TEST_RATIO[0] - F.col("test_ratio")) * TEST_RATIO[1])).otherwise(zero)
+    cover = F.when(F.col("coverage") < COVERAGE[0], up((COVERAGE[0] - F.col("coverage")) * COVERAGE[1])).otherwise(zero)
+    dup = F.when(F.col("duplication") > DUPLICATION[0], up(F.least(F.lit(DUPLICATION[2]), F.col("duplication") * DUPLICATION[1]))).otherwise(zero)
+    branchy = F.when(F.col("avg_complexity") > COMPLEXITY[0], up(F.least(F.lit(COMPLEXITY[2]), (F.col("avg_complexity") - COMPLEXITY[0]) * COMPLEXITY[1]))).otherwise(zero)
+    dead = F.when(F.col("dead_code_count") > DEAD_CODE[0], F.least(F.lit(DEAD_CODE[2]), up(F.col("dead_code_count") / DEAD_CODE[1]))).otherwise(zero)
     return {"testing": tests + cover, "maintainability": dup + branchy, "ai-code": dead}
 
 
@@ -51,12 +55,34 @@ def health(scores: DataFrame, keys: list[str], weights: dict[str, float] | None
     return scores.groupBy(*keys).agg(clamp(F.floor(F.round(mean, 6) + 0.5), 0, 100).cast("long").alias("overall"))
 
 
-def what_if(findings: DataFrame, scenarios: DataFrame, keys: list[str], finding: str) -> DataFrame:
-    """Overall scores under scenarios that resolve findings: ``scenarios`` has keys, ``scenario``, and the ids that it resolves. All scenarios are one plan."""
+def what_if(findings: DataFrame, scenarios: DataFrame, keys: list[str], finding: str, metrics: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """Overall scores under scenarios that resolve findings: ``scenarios`` has keys, ``scenario``, and the ids that it resolves.
+
+    Points are summed once by tier, and once more for each scenario's own findings; a scenario's score is the scan's with the touched categories
+    scored anew without their own part. So the work grows with the scenarios' members, not with findings times scenarios.
+    """
+    live = findings.where("validation <> 'dismissed'").select(*keys, finding, "category", "severity", deduction(F.col("severity"), F.col("confidence"), F.col("validation")).alias("p"))
+    tiers = [F.sum(F.when(F.col("severity") == s, F.col("p")).otherwise(0.0)).alias(s) for s in SEVERITY_POINTS]
+    whole = live.groupBy(*keys, "category").agg(*tiers)
+    own = live.join(scenarios.select(*keys, "scenario", finding).distinct(), [*keys, finding]).groupBy(*keys, "scenario", "category").agg(*tiers)
     each = scenarios.select(*keys, "scenario").distinct()
-    left = findings.join(each, keys).join(scenarios, [*keys, "scenario", finding], "left_anti")
-    more = [*keys, "scenario"]
-    return health(category_scores(left, each, more), more)
+    base = category_scores(findings, scenarios.select(*keys).distinct(), keys, metrics).select(*keys, "category", "score")
+    w = CATEGORY_WEIGHT | (weights or {})
+    total = sum(w.values()) or 1
+    share = lookup(F.col("category"), {c: x / total for c, x in w.items()})
+    sums = base.groupBy(*keys).agg(F.sum(F.col("score") * share).alias("held"))
+    left = lambda s: ceiling(F.lit(s), F.round(F.col(f"a.{s}") - F.col(f"o.{s}"), 9)) if s in TIER_CEILING else F.round(F.col(f"a.{s}") - F.col(f"o.{s}"), 9)
+    touched = own.alias("o").join(whole.alias("a"), [*keys, "category"]).select(*keys, "o.scenario", "category", sum((left(s) for s in list(SEVERITY_POINTS)[1:]), left(next(iter(SEVERITY_POINTS)))).alias("points"))
+    points = F.col("points")
+    if metrics is not None:
+        touched = touched.join(metrics, keys, "left")
+        for category, extra in structural().items():
+            points = points + F.when(F.col("category") == category, F.coalesce(extra, F.lit(0.0))).otherwise(0.0)
+    new = clamp(F.floor(100 - damp(F.round(points, 6)) + 0.5), 0, 100)
+    gained = touched.join(base, [*keys, "category"]).groupBy(*keys, "scenario").agg(F.sum((new - F.col("score")) * share).alias("gain"))
+    out = each.join(sums, keys).join(gained, [*keys, "scenario"], "left")
+    mean = F.col("held") + F.coalesce("gain", F.lit(0.0))
+    return out.select(*keys, "scenario", clamp(F.floor(F.round(mean, 6) + 0.5), 0, 100).cast("long").alias("overall"))
 
 
 def effort_hours(minutes: Column, first: Column) -> tuple[Column, Column]:

@@ -74,17 +74,26 @@ def agg_noisy_or(t: Tables) -> DataFrame:
     return O.noisy_or(keyed, ["scan_id", "dedupe_key"]).withColumn("confidence", F.round("confidence", 6))
 
 
-MERGED = f"""r AS (SELECT *, {KEY} AS k, {SEV} AS sev FROM v_raw_findings), {NOISY},
-    p AS (SELECT *, row_number() OVER (PARTITION BY scan_id, k ORDER BY sev, agent_ord, raw_id) AS rn FROM r),
-    g AS (SELECT scan_id, k, count(*) AS n_raw, string_agg(DISTINCT CAST(agent_ord AS VARCHAR), ',' ORDER BY CAST(agent_ord AS VARCHAR)) AS detected_by, count(DISTINCT path || ':' || start_line) AS places FROM r GROUP BY ALL),
-    m AS (SELECT p.scan_id, p.k AS dedupe_key, severity, n_raw, rule_id, effort_minutes, {CANON} AS root_cause, path, start_line, category, detected_by,
-          CAST(least(places - 1, 12) AS INT) AS other_places, round(n.confidence, 6) AS confidence
-          FROM p JOIN g ON p.scan_id = g.scan_id AND p.k = g.k JOIN n ON p.scan_id = n.scan_id AND p.k = n.k WHERE rn = 1)"""
+#: Evidence of a raw finding: its place, and every third one's title too, so that primaries differ.
+EVIDENCE = "CASE WHEN raw_id % 3 = 0 THEN [path || ':' || start_line, title] ELSE [path || ':' || start_line] END"
+MERGED = f"""r AS (SELECT *, {KEY} AS k, {SEV} AS sev, {EVIDENCE} AS held FROM v_raw_findings), {NOISY},
+    p AS (SELECT *, row_number() OVER (PARTITION BY scan_id, k ORDER BY len(held) DESC, sev, agent_ord, raw_id) AS rn FROM r),
+    g AS (SELECT scan_id, k, count(*) AS n_raw, min(sev) AS worst, string_agg(DISTINCT CAST(agent_ord AS VARCHAR), ',' ORDER BY CAST(agent_ord AS VARCHAR)) AS detected_by, list_sort(list(DISTINCT (path, start_line))) AS places FROM r GROUP BY ALL),
+    e AS (SELECT scan_id, k, list_sort(list(DISTINCT x)) AS evidence FROM (SELECT scan_id, k, unnest(held) AS x FROM r) GROUP BY ALL),
+    m AS (SELECT p.scan_id, p.k AS dedupe_key, {SEV_NAME.format('worst')} AS severity, n_raw, rule_id, effort_minutes, {CANON} AS root_cause, path, start_line, category, detected_by,
+          array_to_string(list_transform(list_filter(places, lambda x: NOT (x[1] = path AND x[2] = start_line))[1:12], lambda x: x[1] || ':' || x[2]), ',') AS other_places, array_to_string(evidence[1:8], ',') AS evidence, round(n.confidence, 6) AS confidence
+          FROM p JOIN g ON p.scan_id = g.scan_id AND p.k = g.k JOIN e ON p.scan_id = e.scan_id AND p.k = e.k JOIN n ON p.scan_id = n.scan_id AND p.k = n.k WHERE rn = 1)"""
+
+
+def _merged(t: Tables) -> DataFrame:
+    place = F.concat_ws(":", "path", "start_line")
+    m = O.merge_findings(t.v_raw_findings, evidence=F.when(F.col("raw_id") % 3 == 0, F.array(place, F.col("title"))).otherwise(F.array(place)))
+    return m.withColumn("detected_by", F.concat_ws(",", F.transform("detected_by", lambda a: a.cast("string")))).withColumn("other_places", F.array_join(F.transform("other_places", lambda x: F.concat_ws(":", x["path"], x["start_line"])), ",")).withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query(f"WITH {MERGED} SELECT * FROM m")
 def agg_merge_findings(t: Tables) -> DataFrame:
-    return O.merge_findings(t.v_raw_findings).withColumn("detected_by", F.concat_ws(",", F.transform("detected_by", lambda a: a.cast("string"))))
+    return _merged(t)
 
 
 @query(f"SELECT raw_id, root_cause, {CANON} AS canonical FROM v_raw_findings")
@@ -218,9 +227,9 @@ def agg_count_toggle(t: Tables) -> DataFrame:
     return t.v_raw_findings.groupBy("scan_id", "severity").agg(F.count_if(F.col("validation") != "dismissed").alias("live"), F.count("*").alias("with_dismissed"))
 
 
-@query(f"WITH {MERGED}, e AS (SELECT scan_id, unnest(string_split(detected_by, ',')) AS agent FROM m) SELECT scan_id, agent, count(*) AS findings FROM e GROUP BY ALL")
+@query(f"WITH {MERGED}, ag AS (SELECT scan_id, unnest(string_split(detected_by, ',')) AS agent FROM m) SELECT scan_id, agent, count(*) AS findings FROM ag GROUP BY ALL")
 def agg_agent_runs(t: Tables) -> DataFrame:
-    return O.merge_findings(t.v_raw_findings).select("scan_id", F.explode(F.transform("detected_by", lambda a: a.cast("string"))).alias("agent")).groupBy("scan_id", "agent").agg(F.count("*").alias("findings"))
+    return _merged(t).select("scan_id", F.explode(F.split("detected_by", ",")).alias("agent")).groupBy("scan_id", "agent").agg(F.count("*").alias("findings"))
 
 
 @query(f"""WITH s AS (SELECT scan_id, {COUNTS}, count(*) FILTER (WHERE severity IN ('critical', 'high') AND validation IN ('confirmed', 'likely')) AS urgent FROM v_raw_findings WHERE validation <> 'dismissed' GROUP BY scan_id)

@@ -94,13 +94,6 @@ def join_license(t: Tables) -> DataFrame:
     return j.where(F.col("licence").isin(*K.RISKY_LICENCES)).select("scan_id", "name", "ecosystem", "licence")
 
 
-@query(f"WITH {PACK} SELECT scan_id, o.name, ecosystem FROM o WHERE NOT dev AND NOT EXISTS (SELECT 1 FROM v WHERE v.name = o.name) AND regexp_matches(version, '^[~^]')")
-def det_deps(t: Tables) -> DataFrame:
-    """Loosely pinned runtime packages that no advisory names."""
-    own = K.one_each(t.v_packages).where(~F.col("dev") & F.col("version").rlike(r"^[~^]"))
-    return own.join(t.v_advisories.select("name"), "name", "left_anti").select("scan_id", "name", "ecosystem")
-
-
 def _manifest_lines(t: Tables, line, head: str = "", tail: str = "", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Manifests made of the packages table: a scan's packages, a line each."""
     own = K.one_each(t.v_packages).withColumn("cv", V.clean_version(F.col("version")))

@@ -109,3 +109,49 @@ def token_bucket(events: DataFrame, key: str, at: str, order: str, capacity: flo
     rows = events.where(F.col(key).isNotNull()).select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).withColumn("s", F.col("us") / 1e6)
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, order)}
     return rows.repartition(key).sortWithinPartitions(key, "us", order).drop("us").mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, remaining int")
+
+
+#: An event ends its scan if its type is one of these.
+TERMINAL = ("scan_complete", "scan_failed")
+#: How many rows of each kind a view keeps of a scan: the last ones.
+TAILS = {"log": 220, "agent_finding": 120, "agent_progress": 40}
+EVENT = "scan_id long, seq long, type string, agent_ord long, progress double"
+
+
+def read_events(spark, path: str) -> DataFrame:
+    """The event log as a stream of JSON lines."""
+    return spark.readStream.schema("value string").text(path).select(F.from_json("value", EVENT).alias("e")).select("e.*").where("scan_id is not null and seq is not null")
+
+
+def until_terminal(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Events up to each scan's first terminal one; what comes after is dropped. Scans without one keep all."""
+    last = events.where(F.col("type").isin(*terminal)).groupBy("scan_id").agg(F.min("seq").alias("last"))
+    return events.join(last, "scan_id", "left").where("last is null or seq <= last").drop("last")
+
+
+def until_terminal_stream(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """The same over a stream, one flag of state for each scan; ``events`` has the columns of EVENT, in order of arrival."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        ended = held.get[0] if held.exists else False
+        new = pd.concat(list(batches)).sort_values("seq")
+        ends = new["type"].isin(terminal)
+        keep = new[0:0] if ended else new[ends.cumsum() - ends == 0]
+        held.update((bool(ended or ends.any()),))
+        yield keep
+
+    return events.groupBy("scan_id").applyInPandasWithState(step, EVENT, "ended boolean", "append", "NoTimeout")
+
+
+def tail(events: DataFrame, most: dict[str, int] = TAILS) -> DataFrame:
+    """The last events of each kind of a scan."""
+    limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("type")]
+    place = F.row_number().over(Window.partitionBy("scan_id", "type").orderBy(F.desc("seq")))
+    return events.where(F.col("type").isin(*most)).withColumn("place", place).where(F.col("place") <= max(most.values())).where(F.col("place") <= limit).drop("place")
+
+
+def merge_logs(stored: DataFrame, buffered: DataFrame) -> DataFrame:
+    """Stored and buffered events as one log: each (scan, seq) once, the stored one if both have it."""
+    both = stored.withColumn("from", F.lit(0)).unionByName(buffered.withColumn("from", F.lit(1)))
+    own = [c for c in stored.columns if c not in ("scan_id", "seq")]
+    return both.groupBy("scan_id", "seq").agg(F.min_by(F.struct(*own), "from").alias("x")).select("scan_id", "seq", "x.*")
