@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import severity_of, severity_ord
 from ..session import staged
 
+#: Edges that a round walks before its table is written.
+STEPS = 4
+
 
 def imported_by(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """Per module the number of modules that import it; 0 for none. Edges are counted before they meet the modules."""
@@ -29,37 +33,53 @@ def layer_violations(modules: DataFrame, edges: DataFrame, rules: list[tuple[str
     return edges.join(touched, "src").join(b, "dst").select("src", "dst", F.explode(hits).alias("rule"))
 
 
-def reachable(modules: DataFrame, edges: DataFrame, is_entry: str = "is_entry") -> DataFrame:
-    """``node``, ``depth``: modules that some entry point reaches, with the fewest steps. Each round joins only the frontier, and is cut by a written table."""
-    edges = staged(edges.select("src", "dst").where("src <> dst").distinct())
+def reachable(modules: DataFrame, edges: DataFrame, is_entry: str = "is_entry", steps: int = STEPS) -> DataFrame:
+    """``node``, ``depth``: modules that some entry point reaches, with the fewest steps.
+
+    A round walks ``steps`` edges from the frontier in one plan and is cut by a written table; the next frontier is what the last of the steps found.
+    """
+    edges = staged(edges.select("src", "dst").where("src <> dst").distinct().join(modules.select(F.col("node").alias("dst")), "dst", "left_semi"))
     seen = front = staged(modules.where(is_entry).select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while True:
-        depth += 1
-        new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = staged(new.join(seen, "node", "left_anti").join(modules.select("node"), "node", "left_semi").withColumn("depth", F.lit(depth)))
+        met, found = front.select("node"), None
+        for k in range(1, steps + 1):
+            met = edges.join(met.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+            step = met.withColumn("depth", F.lit(depth + k))
+            found = step if found is None else found.unionByName(step)
+        new = staged(found.groupBy("node").agg(F.min("depth").alias("depth")).join(seen, "node", "left_anti"))
+        depth += steps
+        seen = staged(seen.unionByName(new))
+        front = new.where(F.col("depth") == depth)
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
-
-
-def imports(lines: DataFrame) -> DataFrame:
-    """Lines (scan_id, path, line_no, line) to import references: ``target`` and ``symbols``, for script and Python forms. Lines over 400 characters name nothing."""
-    l = F.col("line")
-    script = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"""\bfrom\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]""")])
-    python = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import\b", r"^\s*import\s+([\w.]+)")])
-    named = F.coalesce(*[F.nullif(F.regexp_extract(l, p, 1), F.lit("")) for p in (r"\{([^}]*)\}", r"^\s*from\s+[\w.]+\s+import\s+\(?([^)#]+)", r"^\s*import\s+(\w+)\s+from\b")])
-    symbols = F.filter(F.transform(F.split(F.coalesce(named, F.lit("")), ","), lambda x: F.trim(F.regexp_replace(x, r"(?i)\s+as\s+.*$|^\s*type\s+", ""))), lambda x: x != "")
-    target = F.when(F.col("path").endswith(".py"), python).otherwise(script)
-    return lines.where(F.length(l) <= 400).select("scan_id", "path", "line_no", target.alias("target"), symbols.alias("symbols")).where("target is not null")
 
 
-def exports(lines: DataFrame) -> DataFrame:
-    """Exported symbols, one row for each (scan, path, symbol): ``export`` declarations, and public top-level functions and classes of Python files."""
-    l = F.col("line")
-    script = F.regexp_extract(l, r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)", 1)
-    python = F.regexp_extract(l, r"^(?:async\s+)?(?:def|class)\s+([A-Za-z]\w*)", 1)
-    return lines.select("scan_id", "path", F.when(F.col("path").endswith(".py"), python).otherwise(script).alias("symbol")).where("symbol <> ''").distinct()
+def scan_reachable(modules: DataFrame, edges: DataFrame, local: int = 200_000) -> DataFrame:
+    """scan_id, path: modules (scan_id, path, is_entry) that an entry point of their scan reaches by its edges (scan_id, src, dst). A scan of at most ``local`` edges is one group; larger ones go through ``reachable``."""
+    sizes = edges.groupBy("scan_id").agg(F.count("*").alias("n_edges"))
+    starts = modules.where("is_entry").select("scan_id", F.lit(None).cast("string").alias("src"), F.col("path").alias("dst"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[str]] = {}
+        for a, b in zip(rows["src"], rows["dst"], strict=True):
+            out.setdefault(a, []).append(b)
+        front = met = set(out.pop(None, ()))
+        while front:
+            front = {b for a in front for b in out.get(a, ())} - met
+            met = met | front
+        return pd.DataFrame({"scan_id": key[0], "path": sorted(met)}, columns=["scan_id", "path"])
+
+    kind = modules.schema["scan_id"].dataType.simpleString()
+    sized = starts.unionByName(edges.select("scan_id", "src", "dst")).join(sizes, "scan_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    small = sized.where(F.col("n_edges") <= local).select("scan_id", "src", "dst").groupBy("scan_id").applyInPandas(run, f"scan_id {kind}, path string")
+    large = sized.where(F.col("n_edges") > local)
+    if large.isEmpty():
+        return small
+    node = lambda c: F.concat_ws("\n", F.col("scan_id").cast("string"), c)
+    walked = large.where("src is not null").select(node("src").alias("src"), node("dst").alias("dst"))
+    found = reachable(modules.join(large.select("scan_id").distinct(), "scan_id", "left_semi").select(node("path").alias("node"), "is_entry"), walked)
+    return small.unionByName(found.select(F.split("node", "\n")[0].cast(kind).alias("scan_id"), F.split("node", "\n")[1].alias("path")))
 
 
 def degrees(modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,12 +118,14 @@ def component_risk(findings: DataFrame, rules: list[tuple[str, str]]) -> DataFra
     return live.groupBy("component").agg(F.count("*").alias("findings"), severity_of(F.min(severity_ord(F.col("severity")))).alias("worst"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Without the edges that lie on no cycle because an end has no way in or no way out; repeated until none goes."""
+def _trimmed(edges: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Without the edges that lie on no cycle because an end has no way in or no way out; ``steps`` times in each round, until none goes."""
     n = edges.count()
     while n:
-        ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = staged(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+        for _ in range(steps):
+            ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+            edges = edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+        edges = staged(edges)
         n, before = edges.count(), n
         if n == before:
             break
@@ -120,8 +142,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         colour = staged(live.select(F.col("src").alias("node")).union(live.select(F.col("dst").alias("node"))).distinct().withColumn("cycle", F.col("node")))
         while True:
-            seen = live.join(colour.select(F.col("node").alias("src"), "cycle"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("cycle").alias("least"))
-            new = staged(colour.join(seen, "node", "left").select("node", F.col("cycle").alias("old"), F.least("cycle", "least").alias("cycle")))
+            new = colour.withColumn("old", F.col("cycle"))
+            for _ in range(STEPS):
+                seen = live.join(new.select(F.col("node").alias("src"), "cycle"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("cycle").alias("least"))
+                new = new.join(seen, "node", "left").select("node", "old", F.least("cycle", "least").alias("cycle"))
+            new = staged(new)
             colour = new.select("node", "cycle")
             if new.where("old <> cycle").isEmpty():
                 break
@@ -129,8 +154,11 @@ def cycles(edges: DataFrame) -> DataFrame:
         inside = staged(live.join(a, "src").join(b, "dst").where("cycle = c").select("src", "dst", "cycle"))
         met = front = staged(colour.where("node = cycle"))
         while True:
-            back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "cycle").distinct()
-            front = staged(back.join(met, "node", "left_anti"))
+            step, steps = front, None
+            for _ in range(STEPS):
+                step = inside.join(step.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "cycle").distinct()
+                steps = step if steps is None else steps.unionByName(step)
+            front = staged(steps.distinct().join(met, "node", "left_anti"))
             if front.isEmpty():
                 break
             met = staged(met.unionByName(front))

@@ -129,11 +129,10 @@ def _validated(t: Tables) -> DataFrame:
     f = _code(t)
     edges = module_edges(_resolved(t))
     entry = P.matches(F.col("path"), ENTRIES)
-    node = lambda c: F.concat_ws("\n", F.col("scan_id").cast("string"), c)
-    modules = f.select("scan_id", "path", node("path").alias("node"), entry.alias("is_entry"))
-    reached = G.reachable(modules.select("node", "is_entry"), edges.select(node("src").alias("src"), node("dst").alias("dst"))).select("node", F.lit(True).alias("reached"))
+    modules = f.select("scan_id", "path", entry.alias("is_entry"))
+    reached = G.scan_reachable(modules, edges).withColumn("reached", F.lit(True))
     with_entry = modules.groupBy("scan_id").agg(F.bool_or("is_entry").alias("has_entries"))
-    known = modules.join(reached, "node", "left").join(with_entry, "scan_id").select("scan_id", "path", "is_entry", F.when(F.col("has_entries"), F.coalesce("reached", F.lit(False))).alias("reachable"))
+    known = modules.join(reached, ["scan_id", "path"], "left").join(with_entry, "scan_id").select("scan_id", "path", "is_entry", F.when(F.col("has_entries"), F.coalesce("reached", F.lit(False))).alias("reachable"))
     p = V.placed(D.by_rules(f, R.SHIPPED), f).join(known, ["scan_id", "path"], "left")
     return V.summed(V.signals(p, F.lit(1), F.col("reachable"), F.col("is_entry")))
 

@@ -35,17 +35,6 @@ def test_cycles_equal_brute_force(spark):
     assert G.cycles(spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
 
 
-def test_imports_and_exports(spark):
-    lines = [
-        ("s", "a.ts", 1, 'import { x, y as z } from "./b"'), ("s", "a.ts", 2, 'const q = require("fs")'), ("s", "a.ts", 3, "export async function go() {"), ("s", "a.ts", 4, 'import "./side"'),
-        ("s", "b.py", 1, "from os.path import join, split as s"), ("s", "b.py", 2, "import json"), ("s", "b.py", 3, "def _own():"), ("s", "b.py", 4, "class Out:"), ("s", "b.py", 5, None),
-    ]
-    df = spark.createDataFrame(lines, "scan_id string, path string, line_no int, line string")
-    got = {(r.path, r.line_no): (r.target, r.symbols) for r in G.imports(df).collect()}
-    assert got == {("a.ts", 1): ("./b", ["x", "y"]), ("a.ts", 2): ("fs", []), ("a.ts", 4): ("./side", []), ("b.py", 1): ("os.path", ["join", "split"]), ("b.py", 2): ("json", [])}
-    assert {(r.path, r.symbol) for r in G.exports(df).collect()} == {("a.ts", "go"), ("b.py", "Out")}
-
-
 def test_the_streamed_fold_equals_the_batch_fold(spark, tmp_path):
     e = Tables(spark, SF).v_scan_events.selectExpr("scan_id", "cast(seq as long) as seq", "type", "progress")
     cut = 4
