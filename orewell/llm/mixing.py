@@ -28,6 +28,8 @@ DIMS = ("source", "lang", "topic")
 #: A target share is the observed share to this power, which lifts small values and lowers large ones.
 SMOOTHING = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, TRIM = 10, 8.0
+#: Up to so many cells go through the rounds in one partition.
+FEW_CELLS = 100_000
 #: The share of all tokens that the pipeline's sample holds.
 HOLD = 0.5
 
@@ -54,18 +56,31 @@ def smoothed(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
     """``cells`` (dimensions, ``tokens``) with ``factor``. A target is a table (dimension, ``target``); values without one keep their weight."""
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()[0]  # one number
-    targets = {d: stage(t) for d, t in targets.items()}
-    out = stage(cells.withColumn("factor", F.lit(1.0)))
+    n, total = cells.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()  # two numbers
+    # A few cells are kept in one partition, where sums and joins need no exchange; more of them are shuffled.
+    near = (lambda df: df.coalesce(1)) if n <= FEW_CELLS else (lambda df: df)
+    targets = {d: near(stage(near(t))) for d, t in targets.items()}
+    out = near(stage(near(cells.withColumn("factor", F.lit(1.0)))))
     for _ in range(rounds if total else 0):
         for d, t in targets.items():
             sums = out.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("held"))
             step = sums.join(t, d).select(d, F.when(F.col("held") > 0, F.col("target") * F.lit(total) / F.col("held")).alias("step"))
             out = out.join(step, d, "left").select(*DIMS, "tokens", F.least(F.col("factor") * F.coalesce("step", F.lit(1.0)), F.lit(trim)).alias("factor"))
-        out = stage(out)
+        out = near(stage(near(out)))
     return out
 
 
+def margins(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dim, value, target, share: what each value of each dimension should hold of the weighted tokens, and what it holds. Their largest difference says how far the rounds have come, and what ``trim`` has cut off."""
+    total = raked.agg(F.sum(F.col("tokens") * F.col("factor")).alias("all"))
+    held = raked.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in targets])).alias("k"), (F.col("tokens") * F.col("factor")).alias("w")).groupBy("k.dim", "k.value").agg(F.sum("w").alias("w"))
+    asked = None
+    for d, t in targets.items():
+        t = t.select(F.lit(d).alias("dim"), F.col(d).alias("value"), "target")
+        asked = t if asked is None else asked.unionByName(t)
+    return asked.join(held, ["dim", "value"], "left").crossJoin(F.broadcast(total)).select("dim", "value", "target", F.coalesce(F.col("w") / F.nullif(F.col("all"), F.lit(0.0)), F.lit(0.0)).alias("share"))  # total is one row
+
+
 def scaled(raked: DataFrame, hold: float | None = None) -> DataFrame:
     """``raked`` with ``prob``: factor / largest factor, or with ``hold`` the least of 1 and c * factor for this share of all tokens."""
     if hold is None:
@@ -95,10 +110,9 @@ def draw(key: Column) -> Column:
 
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The drawn rows with all their columns. A row's fate depends on its cell and id alone, so cells are joined, not documents."""
-    cells = mix_cells(docs, **how)
-    key = {"__source": F.coalesce("source", F.lit("none")), "__lang": F.coalesce("lang", F.lit("none")), "__topic": topic_of(F.coalesce("text", F.lit("")))}
-    named = cells.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), F.col("prob").alias("__prob"))
-    return docs.withColumns(key).join(named, list(key)).where(draw(F.col("doc_id")) < F.col("__prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    none = lambda c: F.coalesce(F.col(c), F.lit("none")).alias(c)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), none("source"), none("lang"), topic_of(F.coalesce("text", F.lit(""))).alias("topic"))
+    return rows.join(mix_cells(docs, **how), list(DIMS)).where(draw(F.col("row.doc_id")) < F.col("prob")).select("row.*")
 
 
 def mix_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, trim: float = TRIM, hold: float | None = None) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import itertools
 import json
 import random
+import re
 import zlib
 
 import duckdb
@@ -16,7 +19,7 @@ from orewell.llm import language, mixing, neardup, packing, quality, queries, ra
 from orewell.llm.common import TextEncoder
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, node string, size string, spans string, bands string, root string, length string, h string, digest string, factor string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, node string, size string, spans string, bands string, root string, length string, h string, digest string, factor string, row string, common string, removed string, __source string, __prob string, __k string, __id string"
 VOCABULARY = [f"{a}{b}{c}" for a in ("ba", "ke", "li", "mo", "su") for b in ("na", "ri", "to", "ve") for c in ("", "n", "s", "rt", "ld")]
 
 
@@ -35,7 +38,7 @@ def texts() -> list[tuple[int | None, str | None]]:
 
 
 def documents(spark, rows):
-    full = [(i, t, None if i == 7 else "la", None if i == 9 else f"s{(i or 0) % 2}", len(t) if t is not None else None, *["x"] * 9) for i, t in rows]
+    full = [(i, t, None if i == 7 else "la", None if i == 9 else f"s{(i or 0) % 2}", len(t) if t is not None else None, *["x"] * 16) for i, t in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -141,6 +144,40 @@ def test_secret_report_and_redaction(docs, empty, spark):
     assert [(r.doc_id, r.text, r.n_chars) for r in out.orderBy("doc_id").collect()] == [(1, "[secret:assign] and more", 24), (2, None, None), (2, None, None)]
 
 
+BASE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id,
+    len(list_filter(regexp_extract_all(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d"""
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_base_rules_of_secrets_equal_sql(spark, sf):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    got = secrets.secret_report(spark.read.parquet(path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(BASE_SQL).fetchall())
+
+
+def test_secret_spans_equal_a_plain_search(spark):
+    """base_sha256 against spans found by the contract's own patterns, text by text."""
+    kinds = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+    r, bits = random.Random(12), ["password: ", "API_KEY='", "token=", "secret", " = ", "abcdef123", "AKIA", "Z9" * 10, "0af3" * 7, "é", "\n", '"', "ab12", " "]
+    some = ["".join(r.choice(bits) for _ in range(60)) for _ in range(200)]
+    docs = documents(spark, [*enumerate(some), (900, None), (901, "")])
+    got = {x.doc_id: x for x in secrets.secret_report(docs).collect()}
+    for key, text in [*enumerate(some), (900, ""), (901, "")]:
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= least)
+        joined = ",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in spans)
+        assert got[key].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [x for x in got[key].spans.split(",") if x.split(":")[0] in secrets.BASE] == [x for x in joined.split(",") if x] or got[key].spans == joined == ""
+
+
+def test_unsigned_tokens_are_not_reported():
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    assert not spans_beyond_patterns(f"{part({'alg': 'none'})}.{part({'sub': 'somebody'})}.")
+    assert not spans_beyond_patterns(f"{part({'alg': 'none'})}.{part({'sub': 'somebody'})}.c2lnbmF0dXJl")
+
+
 # 2: near-duplicates
 
 
@@ -231,6 +268,56 @@ def test_quality_edges(docs, empty, spark):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def test_repeated_rows_and_ids_take_no_votes(spark):
+    """One id on a hundred thousand rows: the driver gets one row for each different text and label."""
+    docs = spark.range(100_000).select(F.lit(1).alias("doc_id").cast("long"), F.lit("one text again and again").alias("text"))
+    docs = docs.unionByName(documents(spark, [(i, prose(i, 60)) for i in range(2, 42)]).select("doc_id", "text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 42)] * 3 + [(5000 + i, 1) for i in range(500)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, voters=20)
+    assert len(model.labels) == 20
+    assert len(quality.fit(docs, labels).labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 42))
+
+
+def test_votes_equal_brute_force(spark):
+    """Scores against cosine votes of all voters, taken one document at a time."""
+    docs, labels = documents(spark, texts()), spark.createDataFrame([(i, i % 2) for i in range(20, 32)], "doc_id long, quality int")
+    model, f = quality.fit(docs, labels, nearest=5), quality.Featurizer()
+    for r in quality.score_quality(docs, model).collect():
+        text = [t for k, t in texts() if k == r.doc_id][0]
+        if not (text or "").split():
+            assert r.score == model.prior
+            continue
+        near = sorted(((float(v), int(y)) for v, y in zip(model.vectors(f([text]))[0] @ model.voters, model.labels, strict=True)), key=lambda x: -x[0])[:5]
+        weights = [max(v, 0) ** 8 + 1e-6 for v, _ in near]
+        assert abs(r.score - sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights)) < 1e-4
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    docs = documents(spark, [(None, prose(1, 60)), (3, prose(2, 60))])
+    assert all(r.held_out is False for r in quality.quality_scores(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int")).collect() if r.doc_id is None)
+    assert [r.held_out for r in language.document_languages(docs).where("doc_id is null").collect()] == [False]
+
+
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark, [(1, "½ ² ①"), (2, "Ⅷ 12 ..."), (3, "ª½ab cd"), *[(20 + i, prose(i, 50)) for i in range(5)]])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.document_languages(docs).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "la"
+
+
+def test_viterbi_equals_brute_force(spark):
+    """The best path over all labellings of short word rows."""
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the cat sat on the mat and the dog", "en"), ("le chat est sur la table avec le chien", "fr"), ("der hund und die katze sind auf dem tisch", "de")] * 4)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    lab, r = language.Labeler(model), random.Random(4)
+    pool = "the cat le chat der hund und table mat avec dem".split()
+    for _ in range(20):
+        words = [r.choice(pool) for _ in range(6)]
+        got = lab.labels([words])[0]
+        scores = lab.table[[lab.at[w] for w in words]]
+        value = lambda path: sum(scores[i][k] for i, k in enumerate(path)) - lab.switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert abs(value(got) - max(value(p) for p in itertools.product(range(len(model.langs)), repeat=6))) < 1e-3
+
+
 def test_language_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -256,6 +343,20 @@ def test_raked_margins_meet_their_targets(spark):
     assert {r.source: round(r.w / total, 4) for r in raked.groupBy("source").agg(F.sum("w").alias("w")).collect()} == {"p": 0.5, "q": 0.3, "r": 0.2}
 
 
+def test_margins_tell_convergence_and_what_the_trim_cuts_off(spark):
+    cells = spark.createDataFrame([(a, b, c, 100 + 37 * i * j + 11 * k) for i, a in enumerate("pqrs") for j, b in enumerate("xyz") for k, c in enumerate("tu")], "source string, lang string, topic string, tokens long")
+    targets = {d: mixing.smoothed(cells, d, mixing.SMOOTHING[d]) for d in mixing.DIMS}
+    gap = lambda raked: max(abs(r.target - r.share) for r in mixing.margins(raked, targets).collect())
+    assert gap(mixing.rake(cells, targets)) < 1e-4 < gap(mixing.rake(cells, targets, rounds=1)) < gap(mixing.rake(cells, targets, rounds=0))
+    few, mixing.FEW_CELLS = mixing.FEW_CELLS, 0
+    try:
+        assert gap(mixing.rake(cells, targets)) < 1e-4
+    finally:
+        mixing.FEW_CELLS = few
+    skewed = targets | {"source": spark.createDataFrame([("p", 0.97), ("q", 0.01), ("r", 0.01), ("s", 0.01)], "source string, target double")}
+    assert max(abs(r.target - r.share) for r in mixing.margins(mixing.rake(cells, skewed, trim=2.0), skewed).collect()) > 0.1
+
+
 def test_mixing_equals_sql_and_samples_rows(docs, empty):
     assert mixing.mix(empty).count() == 0
     drawn = mixing.mix(docs)
@@ -405,6 +506,39 @@ def test_top_k_equals_brute_force(spark):
     assert topk.nearest_products(table.limit(0)).count() == 0
 
 
+def products(rows, k=5):
+    """Brute force in whole numbers: every row with an id divisible by 50 against all other rows of its length."""
+    whole = [[int(np.floor(np.float64(256) * x)) if abs(x) < 2**40 else int(x) * 256 for x in v] for _, v in rows]
+    out = []
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+            best = sorted((-clamp(sum(a * b for a, b in zip(whole[i], whole[j], strict=True))), rows[j][0]) for j in range(len(rows)) if j != i and len(whole[j]) == len(whole[i]))[:k]
+            out += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_of_large_values_repeated_ids_and_mixed_lengths(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, list(map(float, r.normal(size=4)))) for i in range(150)]
+    rows += [(150 + i, list(map(float, r.normal(size=4) * 1e6))) for i in range(60)] + [(250 + i, list(map(float, r.normal(size=4) * 1e8))) for i in range(10)] + [(300, [1e12, -1e12, 1e11, 3.0])]
+    rows += [(400 + i, list(map(float, r.normal(size=3)))) for i in range(60)] + [(50, rows[50][1]), (50, rows[7][1]), (100, rows[100][1])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    assert sorted(map(tuple, topk.nearest_products(table).collect())) == products(rows)
+
+
+def test_top_k_rules_blocks_and_vectors_out_in_clusters(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, list(map(float, centres[i % 40] + 0.01 * r.normal(size=16)))) for i in range(4000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 500)
+    assert sorted(map(tuple, topk.nearest_products(table).collect())) == products(rows)
+    assert topk.evaluated_share(table) < 0.25
+    monkeypatch.setattr(topk, "RANGE_BYTES", 0)  # no block is ruled out as a whole
+    assert sorted(map(tuple, topk.nearest_products(table).collect())) == products(rows)
+
+
 # 9: quality rules
 
 
@@ -456,6 +590,46 @@ def test_passages_just_over_fifty_words_are_found_at_any_place(spark, letters):
     assert sorted(map(tuple, substrings.repeated_passages(documents(spark, rows)).collect())) == sorted(want.values())
 
 
+def brute_passages(rows, n=50):
+    """(doc, first word, end word) of the runs of stretches of n words that a document with a lesser id holds."""
+    held: dict = {}
+    words = {k: (t or "").split() for k, t in rows}
+    for k, ws in words.items():
+        for i in range(len(ws) - n + 1):
+            held.setdefault(tuple(ws[i : i + n]), set()).add(k)
+    out = []
+    for k, ws in words.items():
+        at = [i for i in range(len(ws) - n + 1) if min(held[tuple(ws[i : i + n])]) < k]
+        runs: list = []
+        for i in at:
+            if runs and i < runs[-1][1]:
+                runs[-1][1] = i + n
+            else:
+                runs.append([i, i + n])
+        out += [(k, a, b) for a, b in runs]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_equal_brute_force(spark, seed):
+    """Documents made of shared pieces, with edits, mosaics, copies and other white space."""
+    r = random.Random(seed)
+    pieces = [prose(9000 + 100 * seed + i, r.randint(20, 90)).split() for i in range(30)]
+    rows = []
+    for k in range(120):
+        ws = [w for _ in range(r.randint(1, 5)) for w in r.choice(pieces)]
+        for _ in range(r.randint(0, 3)):
+            ws[r.randrange(len(ws))] = f"e{k}"
+        rows.append((k, "".join(w + r.choice([" ", "\n", "  "]) for w in ws)))
+    rows += [(500 + i, rows[i][1]) for i in range(10)]
+    text, got = dict(rows), []
+    for x in substrings.repeated_passages(documents(spark, rows)).collect():
+        first = len(text[x.doc_id][: x.start].split())
+        assert x.first_doc_id < x.doc_id and x.n_words == len(text[x.doc_id][x.start : x.end].split())
+        got.append((x.doc_id, first, first + x.n_words))
+    assert sorted(got) == brute_passages(rows)
+
+
 def test_passages_are_found_beside_an_earlier_document_with_their_middle_only(spark):
     held = prose(91, 60).replace("\n", " ")
     rows = [(1, prose(92, 50) + " " + " ".join(held.split()[10:50]) + " " + prose(93, 50))]
@@ -472,6 +646,23 @@ def test_substring_edges(docs, empty):
 # The pipeline
 
 
+def test_stages_keep_other_columns_and_take_odd_rows(docs, empty, spark):
+    """Nulls in every column, empty and long texts, equal rows, and columns named like the operators' own."""
+    import corpus_pipeline as pipeline
+
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r["__k"] == r["row"] == r["common"] == "x" for r in out.collect()), name
+        assert f(spark, empty, SF).count() == 0
+    assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {r.doc_id for r in docs.collect()}
+    nothing = documents(spark, []).union(documents(spark, [(1, "x")]).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    for name, f in pipeline.STAGES:
+        assert f(spark, nothing, SF).count() <= 1, name
+    assert [c for c in substrings.without_repeats(docs).columns] == docs.columns
+
+
+
 def test_each_stage_of_the_pipeline_keeps_the_columns_and_takes_effect(spark):
     import corpus_pipeline as pipeline
 
