@@ -165,3 +165,14 @@ def blend(findings: DataFrame, judgements: DataFrame, key: str) -> DataFrame:
     j = findings.join(judgements, key, "left")
     new = F.when(F.col("verdict") == "false_positive", F.least("confidence", "judged") * 0.5).otherwise((F.col("confidence") + F.col("judged")) / 2)
     return j.withColumn("confidence", F.when(F.col("judged").isNull(), F.col("confidence")).otherwise(clamp(new, 0.05, 0.99)))
+
+
+def summary(findings: DataFrame, scan: str = "scan_id") -> DataFrame:
+    """Counts of live findings by severity, urgent and dismissed ones, and a headline. The headlines."""
+    live = F.col("validation") != "dismissed"
+    out = findings.groupBy(scan).agg(*[F.count_if(live & (F.col("severity") == s)).alias(s) for s in SEVERITIES], F.count_if(urgent()).alias("urgent"), F.count_if(~live).alias("dismissed"), F.count_if(live).alias("live"))
+    many = lambda c, one, more: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(more))
+    head = F.when(F.col("live") == 0, "No high-confidence issues were identified by this analysis.")
+    head = head.when(F.col("critical") > 0, F.concat(many("critical", " critical issue needs", " critical issues need"), F.lit(" attention before anything else.")))
+    head = head.when(F.col("urgent") > 0, F.concat(many("urgent", " issue requires", " issues require"), F.lit(" attention; nothing is critical.")))
+    return out.withColumn("headline", head.otherwise("No critical or high-confidence issues, but there is technical debt worth scheduling."))

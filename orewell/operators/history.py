@@ -59,3 +59,11 @@ def issue_changes(scans: DataFrame, findings: DataFrame) -> DataFrame:
     old = pairs.join(issues.withColumnRenamed("scan_id", "before"), "before").select("scan_id", "issue", F.lit(True).alias("old"))
     state = F.when(F.col("now") & F.col("old"), "open").when(F.col("now"), "new").otherwise("fixed")
     return now.join(old, ["scan_id", "issue"], "full_outer").select("scan_id", "issue", state.alias("state"))
+
+
+def retained(scans: DataFrame, findings: DataFrame, events: DataFrame, most: int = 500, most_events: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The newest scans, their findings, and the last events (scan_id, seq) of each: a top-k, semi-joins, and a rank that Spark cuts in each partition."""
+    kept = scans.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(most)
+    ids = kept.select("scan_id")
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("seq")))
+    return kept, findings.join(ids, "scan_id", "left_semi"), events.join(ids, "scan_id", "left_semi").withColumn("place", place).where(F.col("place") <= most_events).drop("place")

@@ -92,11 +92,11 @@ def effort_hours(minutes: Column, first: Column) -> tuple[Column, Column]:
 
 
 def root_causes(findings: DataFrame, cause: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """Live findings by cause: number, worst severity, effort range. ``order`` decides which member is the first."""
+    """Live findings by cause: number, worst severity, effort range, ids (a scan's, so a list is bounded by a scan). ``order`` decides which member is the first."""
     live = findings.where("validation <> 'dismissed'").withColumn("cause", cause)
-    out = live.groupBy(*keys, "cause").agg(F.count("*").alias("n"), F.min(severity_ord(F.col("severity"))).alias("sev"), F.sum("effort_minutes").alias("minutes"), F.min_by("effort_minutes", F.struct(*order)).alias("first"))
+    out = live.groupBy(*keys, "cause").agg(F.count("*").alias("n"), F.min(severity_ord(F.col("severity"))).alias("sev"), F.sum("effort_minutes").alias("minutes"), F.min_by("effort_minutes", F.struct(*order)).alias("first"), F.sort_array(F.collect_list(order[-1])).alias("ids"))
     low, high = effort_hours(F.col("minutes"), F.col("first"))
-    return out.select(*keys, "cause", "n", severity_of(F.col("sev")).alias("severity"), low.cast("long").alias("hours_low"), high.cast("long").alias("hours_high"))
+    return out.select(*keys, "cause", "n", severity_of(F.col("sev")).alias("severity"), low.cast("long").alias("hours_low"), high.cast("long").alias("hours_high"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def concentration(causes: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:

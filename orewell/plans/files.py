@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import paths as P
+from ..functions.urls import repository
 from ..operators.search import Rule, lines, search
+from ..sources.files import taken
 from .registry import Tables, query
 
 #: A rule table for prose, as the driver's texts hold no code.
@@ -79,15 +81,11 @@ def src_lines(t: Tables) -> DataFrame:
     return lines(t.v_files)
 
 
-@query(f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path) AS n, sum(size) OVER (PARTITION BY scan_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS bytes FROM v_files WHERE size <= 9000) "
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY path) AS n, sum(size) OVER (PARTITION BY scan_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS bytes FROM v_files WHERE size <= 9000) "
        "SELECT s.scan_id, count(k.path) AS kept, count(*) - count(k.path) AS skipped, count(k.path) < count(*) AS truncated FROM v_files s LEFT JOIN (SELECT * FROM k WHERE n <= 40 AND bytes <= 60000) k ON s.scan_id = k.scan_id AND s.path = k.path AND s.doc_id = k.doc_id GROUP BY s.scan_id")
 def src_caps(t: Tables) -> DataFrame:
-    """Limits of a scan: bytes of a file, then files and bytes in path order."""
-    small = t.v_files.withColumn("fits", F.col("size") <= 9000)
-    own = Window.partitionBy("scan_id", "fits").orderBy("path")
-    f = small.withColumn("n", F.row_number().over(own)).withColumn("bytes", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = F.count_if(F.col("fits") & (F.col("n") <= 40) & (F.col("bytes") <= 60000))
-    return f.groupBy("scan_id").agg(kept.alias("kept"), (F.count("*") - kept).alias("skipped"), (kept < F.count("*")).alias("truncated"))
+    """Limits lower than the defaults, so that they cut."""
+    return taken(t.v_files, max_file_bytes=9000, max_files=40, max_bytes=60_000)
 
 
 MANIFEST = "CASE n " + " ".join(f"WHEN '{n}' THEN '{e}'" for n, e in P.MANIFESTS.items()) + " END"
@@ -101,17 +99,16 @@ def src_manifests(t: Tables) -> DataFrame:
     return f.select("scan_id", "path", lookup(F.lower(P.base(F.col("path"))), P.MANIFESTS).alias("ecosystem")).where("ecosystem is not null")
 
 
-@query(r"""SELECT page_id, nullif(regexp_extract(url, '^https?://([^/]+)/', 1), '') AS host, nullif(regexp_extract(url, '^https?://[^/]+/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+)', 1), '') AS owner,
-    nullif(regexp_replace(regexp_extract(url, '^https?://[^/]+/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+)', 2), '\.git$', ''), '') AS name,
-    CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN NOT regexp_matches(url, '^https?://[^/]+/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+') THEN 'path' END AS reason FROM pages""")
+_FORMS = """(SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://github.com/' || o || '/r' || i || '/tree/main/src' WHEN 1 THEN 'git@github.com:' || o || '/r' || i || '.git' WHEN 2 THEN o || '/r.' || i WHEN 3 THEN url WHEN 4 THEN 'github.com/settings/x' WHEN 5 THEN 'https://gist.github.com/a/b'
+    WHEN 6 THEN 'https://www.github.com/' || o WHEN 7 THEN 'http://github.com/-a-/r' || i ELSE '  ' END AS address, o, i FROM (SELECT page_id, url, coalesce(nullif(regexp_extract(url, '/([a-z]+)/[0-9]+', 1), ''), 'none') AS o, CAST(page_id AS STRING) AS i FROM {pages}) z)"""
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 9 IN (0, 1, 2) THEN o END AS owner, CASE page_id % 9 WHEN 0 THEN 'r' || i WHEN 1 THEN 'r' || i WHEN 2 THEN 'r.' || i END AS name, CASE WHEN page_id % 9 = 0 THEN 'main' END AS ref,
+    CASE page_id % 9 WHEN 3 THEN 'not_github' WHEN 4 THEN 'reserved_path' WHEN 5 THEN 'not_a_repository' WHEN 6 THEN 'not_a_repository' WHEN 7 THEN 'invalid_owner' WHEN 8 THEN 'empty' END AS reason FROM {_FORMS.format(pages='pages')}""")
 def src_repo_ref(t: Tables) -> DataFrame:
-    """References to repositories: host, owner and name, or why it is none."""
-    u, full = F.col("url"), r"^https?://[^/]+/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+)"
-    some = lambda c: F.nullif(c, F.lit(""))
-    return t.pages.select(
-        "page_id", some(F.regexp_extract(u, r"^https?://([^/]+)/", 1)).alias("host"), some(F.regexp_extract(u, full, 1)).alias("owner"), some(F.regexp_replace(F.regexp_extract(u, full, 2), r"\.git$", "")).alias("name"),
-        F.when(~u.rlike(r"^https?://"), "scheme").when(~u.rlike(full), "path").alias("reason"),
-    )
+    """References to repositories in every form that people paste, made of the pages' addresses: owner, name and ref, or why it is none."""
+    forms = t.spark.sql("SELECT page_id, address FROM " + _FORMS, pages=t.pages)
+    return forms.select("page_id", repository(F.col("address")).alias("r")).select("page_id", "r.*")
 
 
 @query(f"WITH {FILES} SELECT scan_id, path FROM f WHERE {SOURCE}")
@@ -221,17 +218,32 @@ def flt_search_window(t: Tables) -> DataFrame:
     return search(_files(t), [WIDE])
 
 
-SECRET = "token = \"[0-9a-f]{40}\""
+PLACEHOLDER = r"(?i)example|placeholder|changeme|xxxx|your[_-]"
+#: Formats of credentials: (kind, pattern, the group that is the value). Assignments are reported if their value is as random as a key.
+CREDENTIALS = (
+    ("stripe-live-key", r"\b(sk_live_[A-Za-z0-9]{16,})"), ("sendgrid-key", r"\b(SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"), ("connection-string", r"\b([a-z][a-z0-9+]*://[^:/\s]+:[^@\s]+@[^\s\"']+)"), ("aws-access-key", r"\b(AKIA[A-Z0-9]{16})\b"),
+    ("github-token", r"\b(gh[pousr]_[A-Za-z0-9]{20,})"), ("private-key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"), ("slack-token", r"\b(xox[abpr]-[A-Za-z0-9-]{10,})"), ("assignment", r"[A-Za-z_]+ = \"([^\"\s]{20,})\""),
+)
+
+
+def _quote(p: str) -> str:
+    return p.replace("'", "''")
 
 
-@query("""WITH m AS (SELECT scan_id, path, unnest(regexp_extract_all(content, 'token = "([0-9a-f]{40})"', 1)) AS value FROM v_files)
-    SELECT scan_id, path, substr(value, 1, 4) || '…' || right(value, 4) AS masked, NOT regexp_matches(value, '(?i)example|placeholder|changeme|xxxx|your[_-]') AS reported FROM m""")
+@query(f"""WITH m AS ({' UNION ALL '.join(f"SELECT scan_id, path, '{k}' AS kind, unnest(regexp_extract_all(content, '{_quote(p)}', 1)) AS value FROM v_files" for k, p in CREDENTIALS)}), d AS (SELECT *, row_number() OVER () AS rn FROM m),
+    c AS (SELECT rn, ch, count(*) AS n FROM (SELECT rn, unnest(string_split(value, '')) AS ch FROM d WHERE kind = 'assignment') GROUP BY ALL), t AS (SELECT rn, sum(n) AS total FROM c GROUP BY rn), h AS (SELECT c.rn, round(-sum(n / total * log2(n / total)), 6) AS bits FROM c JOIN t USING (rn) GROUP BY c.rn)
+    SELECT scan_id, path, 'sec.secret.' || kind AS rule_id, substr(value, 1, 4) || '…' || right(value, 4) AS masked, NOT regexp_matches(value, '{PLACEHOLDER}') AS reported FROM d LEFT JOIN h USING (rn) WHERE kind <> 'assignment' OR bits >= 3.5
+    UNION ALL SELECT scan_id, path, 'sec.secret.env-committed', '', true FROM v_files WHERE regexp_matches(path, '(^|/)[.]env([.][a-z]+)?$') AND NOT regexp_matches(path, 'example|sample|template')""")
 def sec_secret_scan(t: Tables) -> DataFrame:
-    """Credential assignments: placeholders are marked, values masked (sec_placeholder, sec_mask)."""
+    """Credentials by vendors' formats and by entropy, and committed environment files: placeholders are marked, values masked (sec_placeholder, sec_mask). One pass over a file's text."""
     from ..operators.findings import mask
 
-    found = t.v_files.select("scan_id", "path", F.explode(F.regexp_extract_all("content", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("value"))
-    return found.select("scan_id", "path", mask(F.col("value")).alias("masked"), (~F.col("value").rlike(r"(?i)example|placeholder|changeme|xxxx|your[_-]")).alias("reported"))
+    held = lambda kind, pattern: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    found = F.flatten(F.array(*[held(k, p) for k, p in CREDENTIALS]))
+    rows = t.v_files.select("scan_id", "path", F.explode(found).alias("s")).select("scan_id", "path", "s.*").where((F.col("kind") != "assignment") | (F.round(C.entropy(F.col("value")), 6) >= 3.5))
+    hits = rows.select("scan_id", "path", F.concat(F.lit("sec.secret."), "kind").alias("rule_id"), mask(F.col("value")).alias("masked"), (~F.col("value").rlike(PLACEHOLDER)).alias("reported"))
+    env = t.v_files.where(F.col("path").rlike(r"(^|/)\.env(\.[a-z]+)?$") & ~F.col("path").rlike("example|sample|template"))
+    return hits.unionByName(env.select("scan_id", "path", F.lit("sec.secret.env-committed").alias("rule_id"), F.lit("").alias("masked"), F.lit(True).alias("reported")))
 
 
 @query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(content, '[A-Za-z_]+ = "([^"]+)"', 1)) AS value FROM v_files), d AS (SELECT doc_id, value, row_number() OVER () AS rn FROM m),
@@ -261,16 +273,17 @@ def sec_log_redact(t: Tables) -> DataFrame:
     return t.v_files.select("doc_id", F.md5(F.substring(c, 1, 2000).cast("binary")).alias("safe"))
 
 
-STAT = f"WITH {FILES}, n AS (SELECT *, len(string_split(content, chr(10))) AS loc FROM f)"
+LOC = "len(list_filter(string_split(content, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '' AND NOT regexp_matches(trim(x, ' ' || chr(9) || chr(13)), '^(//|#|\\*)')))"
+STAT = f"WITH {FILES}, n AS (SELECT *, {LOC} AS loc FROM f)"
 
 
 def _sized(t: Tables) -> DataFrame:
-    return _files(t).withColumn("loc", F.size(F.split("content", "\n")).cast("long"))
+    return _files(t).withColumn("loc", F.size(F.filter(F.split("content", "\n"), C.significant)).cast("long"))
 
 
-@query(f"{STAT} SELECT scan_id, CAST(sum(loc) AS BIGINT) AS loc, count(*) FILTER (WHERE is_test) AS test_files, count(*) FILTER (WHERE {SOURCE}) AS source_files FROM n GROUP BY scan_id")
+@query(f"{STAT} SELECT scan_id, CAST(sum(loc) AS BIGINT) AS loc, count(*) FILTER (WHERE is_test) AS test_files, count(*) FILTER (WHERE is_code AND NOT is_test AND NOT is_vendor AND NOT is_generated) AS source_files FROM n GROUP BY scan_id")
 def agg_repo_stats(t: Tables) -> DataFrame:
-    return _sized(t).groupBy("scan_id").agg(F.sum("loc").alias("loc"), F.count_if("is_test").alias("test_files"), F.count_if(F.expr(SOURCE)).alias("source_files"))
+    return _sized(t).groupBy("scan_id").agg(F.sum("loc").alias("loc"), F.count_if("is_test").alias("test_files"), F.count_if(F.expr("is_code and not is_test and not is_vendor and not is_generated")).alias("source_files"))
 
 
 @query(f"""{STAT}, g AS (SELECT scan_id, language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM n WHERE NOT is_vendor AND NOT is_generated GROUP BY ALL),

@@ -174,8 +174,8 @@ def agg_project_score(t: Tables) -> DataFrame:
 
 LOW = "greatest(1, floor((minutes * 0.6 + first * 0.4) / 60 + 0.5))"
 CAUSES = f"""l AS (SELECT *, {CANON} AS cause, {SEV} AS sev FROM v_raw_findings WHERE validation <> 'dismissed'),
-    c0 AS (SELECT scan_id, cause, count(*) AS n, min(sev) AS sev, sum(effort_minutes) AS minutes, arg_min(effort_minutes, raw_id) AS first FROM l GROUP BY ALL),
-    c AS (SELECT scan_id, cause, n, {SEV_NAME.format('sev')} AS severity, CAST({LOW} AS BIGINT) AS hours_low, CAST(greatest({LOW} + 1, floor(minutes / 60 * 1.2 + 0.5)) AS BIGINT) AS hours_high FROM c0)"""
+    c0 AS (SELECT scan_id, cause, count(*) AS n, min(sev) AS sev, sum(effort_minutes) AS minutes, arg_min(effort_minutes, raw_id) AS first, array_to_string(list_sort(list(raw_id)), ',') AS ids FROM l GROUP BY ALL),
+    c AS (SELECT scan_id, cause, n, {SEV_NAME.format('sev')} AS severity, CAST({LOW} AS BIGINT) AS hours_low, CAST(greatest({LOW} + 1, floor(minutes / 60 * 1.2 + 0.5)) AS BIGINT) AS hours_high, ids FROM c0)"""
 
 
 def _causes(t: Tables) -> DataFrame:
@@ -187,9 +187,14 @@ def agg_root_causes(t: Tables) -> DataFrame:
     return _causes(t)
 
 
-@query(f"WITH {CAUSES} SELECT scan_id, CAST(sum(hours_low) AS BIGINT) AS hours_low, CAST(sum(hours_high) AS BIGINT) AS hours_high, CAST(sum(n) AS BIGINT) AS covered, count(*) AS causes FROM c GROUP BY scan_id")
+@query(f"""WITH {CAUSES}, {STRUCTURAL} SELECT scan_id, CAST(sum(hours_low) AS BIGINT) AS hours_low, CAST(sum(hours_high) AS BIGINT) AS hours_high, CAST(sum(n) AS BIGINT) AS covered, count(*) AS causes, any_value(overall) AS projected FROM c JOIN (SELECT scan_id, {HEALTH} AS overall FROM (SELECT scan_id, category, CAST(least(100, greatest(0, floor(100 - ({DAMP.format('coalesce(extra, 0)')}) + 0.5))) AS BIGINT) AS score
+    FROM (SELECT DISTINCT scan_id FROM v_raw_findings) CROSS JOIN (VALUES {CATEGORIES}) k(category) LEFT JOIN st USING (scan_id, category)) GROUP BY scan_id) USING (scan_id) GROUP BY scan_id""")
 def agg_plan(t: Tables) -> DataFrame:
-    return _causes(t).groupBy("scan_id").agg(F.sum("hours_low").alias("hours_low"), F.sum("hours_high").alias("hours_high"), F.sum("n").alias("covered"), F.count("*").alias("causes"))
+    """Each scan's plan, with the score that its metrics leave once all findings are resolved."""
+    scans = t.v_raw_findings.select("scan_id").distinct()
+    then = P.health(P.category_scores(t.v_raw_findings.limit(0), scans, ["scan_id"], _metrics(t)), ["scan_id"]).withColumnRenamed("overall", "projected")
+    plan = _causes(t).groupBy("scan_id").agg(F.sum("hours_low").alias("hours_low"), F.sum("hours_high").alias("hours_high"), F.sum("n").alias("covered"), F.count("*").alias("causes"))
+    return plan.join(then, "scan_id")
 
 
 @query(f"WITH {CAUSES} SELECT scan_id, cause, hours_low, hours_high FROM c WHERE n > 1")
@@ -232,13 +237,12 @@ def agg_agent_runs(t: Tables) -> DataFrame:
     return _merged(t).select("scan_id", F.explode(F.split("detected_by", ",")).alias("agent")).groupBy("scan_id", "agent").agg(F.count("*").alias("findings"))
 
 
-@query(f"""WITH s AS (SELECT scan_id, {COUNTS}, count(*) FILTER (WHERE severity IN ('critical', 'high') AND validation IN ('confirmed', 'likely')) AS urgent FROM v_raw_findings WHERE validation <> 'dismissed' GROUP BY scan_id)
-    SELECT *, CASE WHEN urgent > 0 THEN urgent || ' to fix first' WHEN medium > 0 THEN 'No urgent findings' ELSE 'Only minor findings' END AS headline FROM s""")
+@query(f"""WITH s AS (SELECT scan_id, {COUNTS.replace("severity = ", "validation <> 'dismissed' AND severity = ")}, count(*) FILTER (WHERE severity IN ('critical', 'high') AND validation IN ('confirmed', 'likely')) AS urgent, count(*) FILTER (WHERE validation = 'dismissed') AS dismissed, count(*) FILTER (WHERE validation <> 'dismissed') AS live FROM v_raw_findings GROUP BY scan_id)
+    SELECT *, CASE WHEN live = 0 THEN 'No high-confidence issues were identified by this analysis.' WHEN critical > 0 THEN critical || CASE critical WHEN 1 THEN ' critical issue needs' ELSE ' critical issues need' END || ' attention before anything else.'
+    WHEN urgent > 0 THEN urgent || CASE urgent WHEN 1 THEN ' issue requires' ELSE ' issues require' END || ' attention; nothing is critical.' ELSE 'No critical or high-confidence issues, but there is technical debt worth scheduling.' END AS headline FROM s""")
 def agg_summary(t: Tables) -> DataFrame:
-    live = t.v_raw_findings.where("validation <> 'dismissed'")
-    out = live.groupBy("scan_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES], F.count_if(O.urgent()).alias("urgent"))
-    head = F.when(F.col("urgent") > 0, F.concat(F.col("urgent").cast("string"), F.lit(" to fix first"))).when(F.col("medium") > 0, "No urgent findings").otherwise("Only minor findings")
-    return out.withColumn("headline", head)
+    """Counts and the headline of each scan."""
+    return O.summary(t.v_raw_findings)
 
 
 def _order_sql(by: str) -> str:
@@ -367,3 +371,11 @@ def sec_redact(t: Tables) -> DataFrame:
     kinds = f.where(F.col("severity").isin("critical", "low")).select("scan_id", F.when(F.col("severity") == "critical", "error").otherwise("click").alias("value")).distinct()
     secrets = kinds.withColumn("mask", F.concat(F.left("value", F.lit(1)), F.lit("…"), F.right("value", F.lit(1))))
     return O.redact(f, secrets, ["title"]).select("raw_id", "title")
+
+
+@query(f"""WITH p AS (SELECT raw_id, scan_id, category, {POINTS} AS points FROM v_raw_findings WHERE validation <> 'dismissed'), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, category ORDER BY points DESC, raw_id) AS place FROM p)
+    SELECT scan_id, category, raw_id, points, CAST(place AS INT) AS place FROM r WHERE place <= 8""")
+def agg_category_deductions(t: Tables) -> DataFrame:
+    """The eight findings that cost each category most."""
+    p = t.v_raw_findings.where("validation <> 'dismissed'").select("raw_id", "scan_id", "category", S.deduction(F.col("severity"), F.col("confidence"), F.col("validation")).alias("points"))
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("scan_id", "category").orderBy(F.desc("points"), "raw_id"))).where("place <= 8")

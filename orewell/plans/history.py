@@ -71,13 +71,13 @@ def lim_scans(t: Tables) -> DataFrame:
     return H.newest(t.v_scans, ["workspace_id"]).where("rn <= 20").select("scan_id", "workspace_id", F.col("rn").alias("place"))
 
 
-@query("""WITH k AS (SELECT scan_id FROM (SELECT scan_id, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, scan_id DESC) AS rn FROM v_scans) WHERE rn <= 500)
-    SELECT k.scan_id, count(f.scan_id) AS findings FROM k LEFT JOIN v_scan_findings f ON k.scan_id = f.scan_id GROUP BY k.scan_id""")
+@query("""WITH k AS (SELECT scan_id FROM v_scans ORDER BY created_at DESC, scan_id DESC LIMIT 500)
+    SELECT k.scan_id, (SELECT count(*) FROM v_scan_findings f WHERE f.scan_id = k.scan_id) AS findings, least(4000, (SELECT count(*) FROM events e WHERE e.user_id = k.scan_id)) AS events FROM k""")
 def sink_retention(t: Tables) -> DataFrame:
-    """Each workspace keeps its newest 500 scans, and their children."""
-    kept = H.newest(t.v_scans, ["workspace_id"]).where("rn <= 500").select("scan_id")
-    children = t.v_scan_findings.join(kept, "scan_id", "left_semi").groupBy("scan_id").agg(F.count("*").alias("findings"))
-    return kept.join(children, "scan_id", "left").na.fill(0, ["findings"])
+    """The newest 500 scans stay, with their findings and the last 4,000 events of each."""
+    kept, findings, events = H.retained(t.v_scans, t.v_scan_findings, t.events.select(F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq")))
+    count = lambda df, name: df.groupBy("scan_id").agg(F.count("*").alias(name))
+    return kept.select("scan_id").join(count(findings, "findings"), "scan_id", "left").join(count(events, "events"), "scan_id", "left").na.fill(0)
 
 
 @query("SELECT scan_id FROM v_scans WHERE workspace_id = 'ws1' OR scan_id % 7 = 0")
@@ -99,11 +99,11 @@ def join_share(t: Tables) -> DataFrame:
     return shared.join(t.v_scan_findings, "scan_id").groupBy("scan_id").agg(F.count("*").alias("findings"))
 
 
-@query("SELECT workspace_id, lower(repo_slug) AS repo, arg_min(scan_id, (scan_id % 3, created_at, scan_id)) AS id, arg_max(repo_slug, (scan_id % 3, created_at, scan_id)) AS slug FROM v_scans WHERE scan_id % 3 < 2 GROUP BY ALL")
+@query("SELECT workspace_id, lower(repo_slug) AS repo, arg_min(scan_id, (least(scan_id % 3, 1), created_at, scan_id)) AS id, arg_max(repo_slug, (least(scan_id % 3, 1), created_at, scan_id)) AS slug FROM v_scans GROUP BY ALL")
 def sink_upsert_repo(t: Tables) -> DataFrame:
-    """Repositories that exist (scans with id % 3 = 0) and arrive (1): the id stays, the rest is the newest."""
+    """Repositories that exist (scans with id % 3 = 0) and arrive (the others): the id stays, the rest is the newest."""
     s = t.v_scans.select("workspace_id", F.lower("repo_slug").alias("repo"), F.col("scan_id").alias("id"), F.col("repo_slug").alias("slug"), F.struct("created_at", "scan_id").alias("at"))
-    old, new = s.where("id % 3 = 0"), s.where("id % 3 = 1")
+    old, new = s.where("id % 3 = 0"), s.where("id % 3 <> 0")
     return H.upsert(old, new, ["workspace_id", "repo"], ["id"], "at").drop("at")
 
 

@@ -52,3 +52,10 @@ def str_pair_validation(t: Tables) -> DataFrame:
 def str_token_bucket(t: Tables) -> DataFrame:
     """No SQL: each bucket depends on the one before; tests compare it with brute force."""
     return S.token_bucket(t.events, "user_id", "ts", "event_id", capacity=3, per_second=1 / 3600)
+
+
+@query("""SELECT scan_id, agent_ord, count(*) FILTER (WHERE type = 'agent_progress') AS tool_runs, CAST(date_diff('second', min("at") FILTER (WHERE type = 'agent_started'), max("at") FILTER (WHERE type = 'agent_finding')) AS BIGINT) AS seconds FROM v_scan_events GROUP BY scan_id, agent_ord""")
+def agg_agent_durations(t: Tables) -> DataFrame:
+    """Per scan and agent what it ran, and the seconds from its first start to its last finding; null without both."""
+    at = lambda kind, f: f(F.when(F.col("type") == kind, F.unix_seconds(F.col("at").cast("timestamp"))))
+    return t.v_scan_events.groupBy("scan_id", "agent_ord").agg(F.count_if(F.col("type") == "agent_progress").alias("tool_runs"), (at("agent_finding", F.max) - at("agent_started", F.min)).alias("seconds"))
