@@ -376,7 +376,8 @@ def classes(docs: DataFrame, **how) -> DataFrame:
     """A row for each input row: doc_id, class_id (the least id of its class), class_size."""
     named = classes_of_rows(docs, **how).select("doc_id", "root")
     known = named.where(F.col("root").isNotNull())
-    heads = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Written first, so that a class of very many rows is no obstacle to the join: it is broadcast, or its rows are split.
+    heads = broadcast_if_small(stage(known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))))
     out = known.join(heads, "root").select("doc_id", "class_id", "class_size")
     return out.union(named.where(F.col("root").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
@@ -387,7 +388,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Dropped rows are named by id and text hash and taken out by an anti-join; texts are shuffled only if the named rows are too many to broadcast.
     """
     rows = stage(classes_of_rows(docs.select("doc_id", "text"), **how).where(F.col("root").isNotNull()).groupBy("root", "doc_id", "h").agg(F.count("*").alias("times")))
-    heads = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select("root", "x.*")
+    heads = broadcast_if_small(stage(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select("root", "x.*")))
     own = rows.alias("r").join(heads.alias("x"), "root").select("r.doc_id", "r.h", "times", (F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("r.h") == F.col("x.h"))).alias("stays"))
     named = broadcast_if_small(stage(own.where("not stays or times > 1").select("doc_id", "h", "stays")))
     names = [F.col(f"d.`{c}`") for c in docs.columns]
