@@ -69,11 +69,11 @@ def test_token_bucket_equals_brute_force(spark):
 
 
 def test_trees_and_manifests(spark, tmp_path):
-    for name, data in {"r1/package.json": b'{"dependencies": {"a": "^1.0.0"}, "devDependencies": {"b": "2"}}', "r1/x/go.mod": b"module m\nrequire q.io/z v1.2.0 // indirect\n", "r2/package.json": b"{broken", "r2/img.png": b"\x89P\x00\x01", "r2/requirements.txt": b"# none\nFlask==2.0\n-r more.txt\nrequests\n"}.items():
+    for name, data in {"r1/package.json": b'{"dependencies": {"a": "^1.0.0"}, "devDependencies": {"b": "2"}}', "r1/x/go.mod": b"module m\nrequire q.io/z v1.2.0 // indirect\n", "r2/package.json": b"{broken", "r2/img.png": b"x", "r2/node_modules/a.js": b"x", "r2/blob": b"\x89P\x00\x01", "r2/requirements.txt": b"# none\nFlask==2.0\n-r more.txt\nrequests\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     files = read_tree(spark, str(tmp_path))
-    assert {(r.scan_id, r.path, r.content is None) for r in files.collect()} == {("r1", "package.json", False), ("r1", "x/go.mod", False), ("r2", "package.json", False), ("r2", "img.png", True), ("r2", "requirements.txt", False)}
+    assert {(r.scan_id, r.path, r.content is None) for r in files.collect()} == {("r1", "package.json", False), ("r1", "x/go.mod", False), ("r2", "package.json", False), ("r2", "blob", True), ("r2", "requirements.txt", False)}
     assert read_tree(spark, str(tmp_path), max_bytes=8).count() == 2
     got = {(r.scan_id, r.ecosystem, r.name, r.version, r.dev, r.direct) for r in K.manifests(files).collect()}
     assert got == {("r1", "npm", "a", "^1.0.0", False, True), ("r1", "npm", "b", "2", True, True), ("r1", "go", "q.io/z", "v1.2.0", False, False), ("r2", "pypi", "flask", "2.0", False, True), ("r2", "pypi", "requests", None, False, True)}
