@@ -68,7 +68,14 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import run_report, with_loops
+
+    return run_report(with_loops(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op11_tiled_runs": op11_tiled_runs,
     "op10_gear_chunks": op10_gear_chunks,
     "op2_dart_minhash": op2_dart_minhash,
     "op5_pattern_packing": op5_pattern_packing,
