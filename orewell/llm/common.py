@@ -58,13 +58,18 @@ def discard(*staged: DataFrame) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``staged`` with the broadcast hint if its files hold at most ``limit`` bytes."""
+def held_bytes(staged: DataFrame) -> int:
+    """Bytes of a staged table's files."""
     spark, held = staged.sparkSession, 0
     for path in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         held += at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    return F.broadcast(staged) if held <= limit else staged
+    return held
+
+
+def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``staged`` with the broadcast hint if its files hold at most ``limit`` bytes."""
+    return F.broadcast(staged) if held_bytes(staged) <= limit else staged
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

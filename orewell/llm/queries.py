@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules, topk
+from . import decontaminate, divergence, mixing, rules, topk
 from ..session import table as _table
 
 
@@ -74,7 +74,17 @@ def op11_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(with_loops(_table(spark, sf_dir, "documents")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op13_decontaminate": op13_decontaminate,
+    "op12_source_divergence": op12_source_divergence,
     "op11_tiled_runs": op11_tiled_runs,
     "op10_gear_chunks": op10_gear_chunks,
     "op2_dart_minhash": op2_dart_minhash,
@@ -88,4 +98,4 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mix_by_raking": mixing.SQL, "op7_pivot_top_k": topk.SQL, "op9_line_frequency_rules": rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mix_by_raking": mixing.SQL, "op7_pivot_top_k": topk.SQL, "op12_source_divergence": divergence.SQL, "op13_decontaminate": decontaminate.SQL, "op9_line_frequency_rules": rules.SQL}

@@ -68,16 +68,17 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", max_shar
     d = d.withColumn("sized", F.when(F.col("common").isNotNull(), F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD_JAVA)).alias("n")))))
     d = d.withColumn("removed", F.coalesce(F.array_intersect(F.transform("sized", lambda x: x["h"]), "common"), F.array().cast("array<bigint>")))
     cut = F.aggregate(F.filter("sized", lambda x: F.array_contains("removed", x["h"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    d = d.select(
-        "row",
+    found = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("repeated"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.coalesce(F.when(F.size("removed") > 0, cut), F.lit(0)).cast("long").alias("n_removed_words"),
-        "removed",
+        F.col("removed"),
     )
+    # A filter on any count would be pushed below the projections, and these would be put into each other; none is pushed below a generator.
+    d = d.select("row", F.explode(F.array(found)).alias("found")).select("row", "found.*")
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     left = F.col("n_words") - F.col("n_removed_words")
     return d.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
@@ -90,8 +91,7 @@ def line_rules(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
 
 def apply_rules(docs: DataFrame, text: str = "text", length: str = "n_chars", **how) -> DataFrame:
     """The kept rows with all their columns, without their boilerplate lines; ``length``, if there, follows the text."""
-    # A filter on ``kept`` would be pushed below the projection and compute all counts twice; exploding one row or none is not.
-    found = verdicts(docs, text, **how).select(F.explode(F.when(F.col("kept"), F.array(F.struct("row", "removed")))).alias("x")).select("x.*")
+    found = verdicts(docs, text, **how).where("kept")
     old = F.col("row")[text]
     cleaned = F.array_join(F.filter(F.split(old, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("removed", line_hash(x)))), "\n")
     new = F.when(F.size("removed") > 0, cleaned).otherwise(old)
