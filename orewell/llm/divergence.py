@@ -1,6 +1,6 @@
 """Operator 12: how far the sources of a language diverge in their terms, by single-pass in-memory indexing.
 
-*Index.* Each task counts terms in memory: occurrences for each language and source, documents for each language. When it holds ENTRIES of them it spills a run: its terms in sorted order,
+*Index.* Each task counts terms in memory: occurrences for each language and source, documents for each language. When it holds ENTRIES occurrences it spills a run: its terms in sorted order,
 cut into chunks by a hash of the term.
 *Merge.* The chunks are shuffled by that hash, sorted by their first term, and merged by a heap, which holds those chunks only whose terms have begun and not ended. What comes out are
 the frequencies of each term; terms in fewer than MIN_DOCS documents of their language are left out.
@@ -16,13 +16,12 @@ A language of one source gives no pairs. An empty table gives an empty table. On
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,108 +29,136 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .common import broadcast_if_small, stage
 
-#: Letters, and everything beyond ASCII; in UTF-8, lower-cased as bytes, so that only A-Z change.
-TERM = re.compile(b"[a-z\x80-\xff]+")
+#: For the bytes of UTF-8: letters in lower case and everything beyond ASCII stay, the rest separates terms.
+FOLD = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
-#: Counts that a task holds before it spills a run; terms in a chunk at most; cells of pair sums that a task holds; hash buckets at least.
-ENTRIES, CHUNK, CELLS, BUCKETS = 600_000, 4096, 4_000_000, 1024
+#: Occurrences that a task holds before it spills a run; terms in a chunk at most; cells of pair sums that a task holds, and that it computes at once; hash buckets at least.
+ENTRIES, CHUNK, CELLS, STEP, BUCKETS = 2_000_000, 4096, 4_000_000, 1_000_000, 1024
 #: Of a chunk: its sources; for each term its documents and the number of sources that have it; for each of these its index and count.
 RUN = "bucket int, lang string, first binary, sources array<string>, terms array<binary>, docs array<long>, sizes array<int>, who array<int>, counts array<long>"
 FREQUENCY = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 class Block:
-    """The counts in memory."""
+    """The block in memory: the terms of its documents one after another, and whose they are."""
 
     def __init__(self):
-        self.held, self.counts, self.docs = 0, {}, {}
+        self.terms: list[bytes] = []
+        self.sizes: list[int] = []
+        self.owner: list[int] = []
+        self.groups: dict[tuple[str, str], int] = {}
 
     def add(self, lang: str, source: str, text: str) -> None:
-        terms = TERM.findall(text.encode().lower())
-        counts, docs = self.counts.setdefault(lang, {}).setdefault(source, Counter()), self.docs.setdefault(lang, Counter())
-        before = len(counts) + len(docs)
-        counts.update(terms)
-        docs.update(set(terms))
-        self.held += len(counts) + len(docs) - before
-
-    def spill(self, buckets: int) -> Iterator[dict]:
+        found = text.encode().translate(FOLD).split()
+        self.terms += found
+        self.sizes.append(len(found))
+        self.owner.append(self.groups.setdefault((lang, source), len(self.groups)))
+
+    def spill(self, buckets: int) -> pa.RecordBatch:
         """The run: chunks of terms in sorted order, for each language and bucket."""
-        for lang, docs in self.docs.items():
-            sources, dealt = list(self.counts[lang]), {}
-            postings: dict[bytes, list[int]] = {t: [] for t in sorted(docs)}
-            for i, s in enumerate(sources):
-                for t, c in self.counts[lang][s].items():
-                    postings[t] += (i, c)
-            for t in postings:
-                dealt.setdefault(zlib.crc32(t) % buckets, []).append(t)
-            for bucket, terms in dealt.items():
-                for i in range(0, len(terms), CHUNK):
-                    part = terms[i : i + CHUNK]
-                    flat = [postings[t] for t in part]
-                    yield {
-                        "bucket": bucket, "lang": lang, "first": part[0], "sources": sources, "terms": part, "docs": [docs[t] for t in part],
-                        "sizes": [len(p) // 2 for p in flat], "who": [x for p in flat for x in p[::2]], "counts": [x for p in flat for x in p[1::2]],
-                    }
-        self.__init__()
+        coded = pa.array(self.terms, pa.binary()).dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        words = coded.dictionary.take(order)
+        rank = np.empty(len(words), np.int64)
+        rank[order.to_numpy()] = np.arange(len(words))
+        term, doc = rank[coded.indices.to_numpy()], np.repeat(np.arange(len(self.sizes)), self.sizes)
+        bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % buckets
+        langs = {x: i for i, x in enumerate(dict.fromkeys(lang for lang, _ in self.groups))}
+        of_group = np.array([langs[lang] for lang, _ in self.groups], np.int64)
+        owner, v, g = np.array(self.owner, np.int64), max(len(words), 1), max(len(self.groups), 1)
+        key, count = np.unique(term * g + owner[doc], return_counts=True)  # occurrences by term and group
+        of, who = key // g, key % g
+        once, _ = np.unique(doc * v + term, return_counts=True)  # with counts it sorts, which is much faster than its hash table
+        held, docs = np.unique(of_group[owner[once // v]] * v + once % v, return_counts=True)  # documents by language and term
+        held = held[(by := np.lexsort((held % v, bucket[held % v], held // v)))]
+        docs, lang, held = docs[by], held // v, held % v
+        by = np.lexsort((who, of, bucket[of], of_group[who]))
+        of, who, count = of[by], who[by], count[by]
+        sizes = np.diff(np.append(np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (of_group[who[1:]] != of_group[who[:-1]])][: len(of)]), len(of)))  # sources of each (lang, term), in the order of held
+        new = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (bucket[held[1:]] != bucket[held[:-1]])][: len(held)])
+        starts = np.concatenate([np.arange(a, e, CHUNK) for a, e in zip(new, np.append(new[1:], len(held)), strict=True)]) if len(new) else new
+        ends = np.append(starts, len(held)).astype(np.int32)
+        at = np.append(0, np.cumsum(sizes))[ends].astype(np.int32)
+        lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x)
+        names, sources = list(langs), [source for _, source in self.groups]
+        cols = [
+            pa.array(bucket[held[starts]], pa.int32()), pa.array([names[i] for i in lang[starts]], pa.string()), words.take(pa.array(held[starts])), pa.array([sources] * len(starts), pa.list_(pa.string())), lists(ends, words.take(pa.array(held))),
+            lists(ends, pa.array(docs, pa.int64())), lists(ends, pa.array(sizes, pa.int32())), lists(at, pa.array(who, pa.int32())), lists(at, pa.array(count, pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split(" ")[0] for c in RUN.split(", ")])
 
 
 def index(docs: DataFrame, buckets: int, entries: int = ENTRIES) -> DataFrame:
     """Chunks (RUN) of the runs of all tasks over docs(lang, source, text)."""
-    arrow = to_arrow_schema(_parse_datatype_string(RUN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            rows: list[dict] = []
-            for r in block.spill(buckets):
-                rows.append(r)
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block.add(lang, source, text)
-                if block.held >= entries:
-                    yield from spilled()
-        yield from spilled()
+                if len(block.terms) >= entries:
+                    yield block.spill(buckets)
+                    block = Block()
+        if block.terms:
+            yield block.spill(buckets)
 
     return docs.select("lang", "source", "text").mapInArrow(run, RUN)
 
 
-def merged(chunks: Iterator[dict]) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
-    """lang, term, documents and counts by source, of chunks sorted by bucket, lang and first term."""
-    heap: list[tuple] = []
+class Chunk:
+    """A chunk that is being merged; its postings stay arrays until a term is kept."""
+
+    __slots__ = ("key", "first", "sources", "terms", "docs", "starts", "who", "counts")
+
+    def __init__(self, key: tuple[int, str], sources: list[str], terms: list[bytes], docs: list[int], starts: list[int], who: np.ndarray, counts: np.ndarray):
+        self.key, self.first, self.sources, self.terms, self.docs, self.starts, self.who, self.counts = key, terms[0], sources, terms, docs, starts, who, counts
+
 
-    def begin(c: dict, n: int) -> None:
-        heapq.heappush(heap, (c["terms"][0], n, 0, 0, c))
+def chunks(b: pa.RecordBatch) -> Iterator[Chunk]:
+    c = dict(zip(b.schema.names, b.columns, strict=True))
+
+    def flat(name: str) -> tuple[pa.Array, list[int]]:
+        at = c[name].offsets.to_numpy()
+        return c[name].values.slice(int(at[0]), int(at[-1] - at[0])), (at - at[0]).tolist()
+
+    (terms, at), (docs, _), (sizes, _), (who, places), (counts, _) = map(flat, ("terms", "docs", "sizes", "who", "counts"))
+    terms, docs, who, counts, ends = terms.to_pylist(), docs.to_pylist(), who.to_numpy(), counts.to_numpy(), np.append(0, np.cumsum(sizes.to_numpy()))
+    for i, (bucket, lang, sources) in enumerate(zip(c["bucket"].to_pylist(), c["lang"].to_pylist(), c["sources"].to_pylist(), strict=True)):
+        x, y, u, v = at[i], at[i + 1], places[i], places[i + 1]
+        yield Chunk((bucket, lang), sources, terms[x:y], docs[x:y], (ends[x : y + 1] - u).tolist(), who[u:v], counts[u:v])
+
+
+def merged(found: Iterator[Chunk], min_docs: int = 0) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
+    """lang, term, documents and counts by source of the terms in ``min_docs`` documents at least, of chunks sorted by bucket, lang and first term."""
+    heap: list[tuple] = []
 
     def before(limit: bytes | None) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
         while heap and (limit is None or heap[0][0] < limit):
-            term, docs, counts = heap[0][0], 0, {}
+            term, docs, at = heap[0][0], 0, []
             while heap and heap[0][0] == term:
-                _, n, i, at, c = heap[0]
-                docs += c["docs"][i]
-                end = at + c["sizes"][i]
-                for w, x in zip(c["who"][at:end], c["counts"][at:end], strict=True):
-                    s = c["sources"][w]
-                    counts[s] = counts.get(s, 0) + x
-                if i + 1 < len(c["terms"]):
-                    heapq.heapreplace(heap, (c["terms"][i + 1], n, i + 1, end, c))
+                _, n, i, c = heap[0]
+                docs += c.docs[i]
+                at.append((c, i))
+                i += 1
+                if i < len(c.terms):
+                    heapq.heapreplace(heap, (c.terms[i], n, i, c))
                 else:
                     heapq.heappop(heap)
-            yield lang, term, docs, counts
-
-    key, lang = None, ""
-    for n, c in enumerate(chunks):
-        if (c["bucket"], c["lang"]) != key:
+            if docs >= min_docs:
+                counts: dict[str, int] = {}
+                for c, i in at:
+                    span = slice(c.starts[i], c.starts[i + 1])
+                    for w, x in zip(c.who[span].tolist(), c.counts[span].tolist(), strict=True):
+                        counts[c.sources[w]] = counts.get(c.sources[w], 0) + x
+                yield key[1], term, docs, counts
+
+    key = None
+    for n, c in enumerate(found):
+        if c.key != key:
             yield from before(None)
-            key, lang = (c["bucket"], c["lang"]), c["lang"]
-        yield from before(c["first"])
-        begin(c, n)
+            key = c.key
+        yield from before(c.first)
+        heapq.heappush(heap, (c.first, n, 0, c))
     yield from before(None)
 
 
@@ -142,12 +169,11 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, entries: int = ENTRIE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for lang, term, n, counts in merged(c for b in batches for c in b.to_pylist()):
-            if n >= min_docs:
-                out.append((lang, term.decode(), n, list(counts), list(counts.values())))
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-                    out = []
+        for lang, term, n, counts in merged((c for b in batches for c in chunks(b)), min_docs):
+            out.append((lang, term.decode(), n, list(counts), list(counts.values())))
+            if len(out) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
@@ -165,47 +191,51 @@ def spread(p: Column, q: Column) -> Column:
 
 
 def _pair_corrections(terms: DataFrame) -> DataFrame:
-    """lang, a, b (a < b), v: what terms that both sources have add, of terms(lang, postings: source, p, p0, sorted by source); each task sums its own."""
+    """lang, a, b, v: what terms that both sources have add, of terms(lang, postings: source, p, p0, sorted by source); each task sums its own."""
     schema = "lang string, a string, b string, v long"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (p[:, None] - q) ** 2 // (p[:, None] + q)
+        return (p[:, :, None] - q[:, None, :]) ** 2 // (p[:, :, None] + q[:, None, :])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, dict[str, int]] = {}
-        sums: dict[str, np.ndarray] = {}
+        known: dict[tuple[str, str], int] = {}
+        sums = np.zeros((0, 0), np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, m in sums.items():
-                known = list(names[lang])
-                for i, a in enumerate(known):
-                    js = np.flatnonzero(m[i, : len(known)])
-                    if len(js):
-                        other = [known[j] for j in js]
-                        cols = [[lang] * len(js), [min(a, b, key=str.encode) for b in other], [max(a, b, key=str.encode) for b in other], m[i, js]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
-            names.clear()
-            sums.clear()
+            names = list(known)
+            for i, (lang, a) in enumerate(names):
+                js = np.flatnonzero(sums[i, : len(names)])
+                if len(js):
+                    cols = [[lang] * len(js), [a] * len(js), [names[j][1] for j in js], sums[i, js]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+            known.clear()
 
         for batch in batches:
-            for lang, postings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                known = names.setdefault(lang, {})
-                at = np.array([known.setdefault(x["source"], len(known)) for x in postings])
-                p, base = (np.array([x[c] for x in postings], np.int64) for c in ("p", "p0"))
-                m = sums.get(lang)
-                if m is None or len(m) < len(known):
-                    sums[lang] = np.zeros((2 * len(known),) * 2, np.int64)
-                    if m is not None:
-                        sums[lang][: len(m), : len(m)] = m
-                    m = sums[lang]
-                for i in range(0, len(at), 256):  # rows of the matrix of pairs
-                    s = slice(i, i + 256)
-                    more = f(p[s], p) - f(p[s], base) - f(base[s], p) + f(base[s], base)
-                    more[np.arange(len(at))[None, :] <= np.arange(len(at))[s, None]] = 0
-                    m[np.ix_(at[s], at)] += more
-                if sum(x.size for x in sums.values()) > CELLS:
-                    yield from flush()
+            lang, lists = batch.column(0).to_pylist(), batch.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values
+            source, p, base = flat.field("source").dictionary_encode(), flat.field("p").to_numpy(), flat.field("p0").to_numpy()
+            names, who = source.dictionary.to_pylist(), source.indices.to_numpy()
+            sizes, tongue = np.diff(at), np.unique(np.array(lang, object), return_inverse=True)
+            code = np.repeat(tongue[1], sizes) * len(names) + who[at[0] : at[-1]]
+            used, place, _ = np.unique(code, return_inverse=True, return_counts=True)
+            if (len(known) + len(used)) ** 2 > CELLS and known:
+                yield from flush()
+                sums = np.zeros((0, 0), np.int64)
+            ids = np.array([known.setdefault((tongue[0][c // len(names)], names[c % len(names)]), len(known)) for c in used.tolist()], np.int64)[place]
+            if len(known) > len(sums):
+                sums = np.pad(sums, (0, 2 * len(known) - len(sums)))
+            p, base = p[at[0] : at[-1]], base[at[0] : at[-1]]
+            for k in np.unique(sizes).tolist():  # terms that as many sources have, some at a time
+                rows = np.flatnonzero(sizes == k)
+                step = max(1, STEP // (k * k))
+                for i in range(0, len(rows), step):
+                    where = (at[rows[i : i + step]] - at[0])[:, None] + np.arange(k)
+                    x, y, g = p[where], base[where], ids[where]
+                    m = f(x, x) - f(x, y) - f(y, x) + f(y, y)
+                    m[:, np.arange(k), np.arange(k)] = 0  # a source and itself
+                    np.add.at(sums, (g[:, :, None], g[:, None, :]), m)
         yield from flush()
 
     return terms.mapInArrow(run, schema)
@@ -241,7 +271,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     postings = of.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("postings")).where(F.size("postings") > 1)
     both = _pair_corrections(postings.select("lang", "postings"))
     turned = lambda d, a, b: d.select("lang", F.col(a).alias("source"), F.col(b).alias("item"), "v")
-    parts = none.unionByName(one).unionByName(turned(one, "item", "source")).unionByName(turned(both, "a", "b")).unionByName(turned(both, "b", "a"))
+    parts = none.unionByName(one).unionByName(turned(one, "item", "source")).unionByName(turned(both, "a", "b"))
     pair = parts.groupBy("lang", "source", "item").agg(F.sum("v").alias("value")).withColumn("rank", F.row_number().over(order))
     cols = lambda d, part: d.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
     return cols(pair, "pair").unionByName(cols(terms, "term"))

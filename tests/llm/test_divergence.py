@@ -57,11 +57,11 @@ def test_the_heap_merges_chunks_of_many_runs():
             found = re.findall("[a-z]+", text.lower())
             want.update((source, t) for t in found)
             docs_of.update(set(found))
-        chunks += list(block.spill(3))
+        chunks += list(divergence.chunks(block.spill(3)))
     got, got_docs = Counter(), Counter()
     last = {}
     for bucket in range(3):
-        for lang, term, n, counts in divergence.merged(iter(sorted((c for c in chunks if c["bucket"] == bucket), key=lambda c: c["first"]))):
+        for lang, term, n, counts in divergence.merged(iter(sorted((c for c in chunks if c.key[0] == bucket), key=lambda c: c.first))):
             assert lang == "l" and last.get(bucket, b"") < term
             last[bucket] = term
             got_docs[term.decode()] += n
