@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .literals import required_literals
+
 SPAN_CHARS, PER_FILE, PER_SCAN = 2000, 4, 40
 
 
@@ -48,6 +50,7 @@ HIT = "array<struct<rule:int,line:int,column:int,match:string,text:string,keep:b
 def search(files: DataFrame, rules: list[Rule], per_file: int = PER_FILE, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
     """Matches of all rules: rule_id, scan_id, path, line, column, text (the lines matched), match.
 
+    Each rule's required literals are looked for once in a file's content, in lower case; only the lines of a file that holds one of them are matched.
     A file's matches are found, capped and tested (exclude, nearby) inside its own row, where its lines are one array; only matches leave it. Files with a flag of ``skip``
     are left out. The cap of a scan counts matches before exclude and nearby; ranks need small keys only, and Spark cuts them in each partition before the shuffle.
     A match that several windows of joined lines see counts once, at its first window.
@@ -55,7 +58,8 @@ def search(files: DataFrame, rules: list[Rule], per_file: int = PER_FILE, skip:
     f = files_with_lines(files)
     for flag in skip:
         f = f.where(f"not {flag}")
-    hits = [F.transform(_hits(r, per_file), lambda m: m.withField("rule", F.lit(k))) for k, r in enumerate(rules)]  # noqa: B023  called at once
+    f = f.withColumn("lowered", F.lower(F.coalesce("content", F.lit("")))).withColumn("lowered_lines", F.split("lowered", "\n"))
+    hits = [F.expr(_hits(k, r, per_file)) for k, r in enumerate(rules)]
     out = f.select("scan_id", "path", F.explode(F.flatten(F.array(*hits))).alias("m")).select("scan_id", "path", "m.*")
     caps = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (k, r.per_scan)])
     ids = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (k, r.id)])
@@ -64,45 +68,38 @@ def search(files: DataFrame, rules: list[Rule], per_file: int = PER_FILE, skip:
     return ranked.select(ids[F.col("rule")].alias("rule_id"), "scan_id", "path", "line", "column", "text", "match")
 
 
-def _hits(r: Rule, per_file: int):
-    """The first ``per_file`` matches of one rule in one file."""
-    ok = F.lit(True)
-    if r.languages:
-        ok = ok & F.col("language").isin(*r.languages)
-    if r.path:
-        ok = ok & F.col("path").rlike(r.path)
-    if r.path_not:
-        ok = ok & ~F.col("path").rlike(r.path_not)
-    none = F.array().cast("array<struct<line:int,column:int,match:string>>")
-    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-
-    def one(line, i):
-        text = line if r.join_lines == 1 else F.array_join(F.slice("lines", i + 1, F.lit(r.join_lines)), "\n")
-        found = F.slice(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), 1, per_file)
-        gaps = F.split(text, r.pattern, per_file + 1)
-        at = lambda k: F.aggregate(F.slice(gaps, 1, k + 1), F.lit(1), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda s, g: s + F.length(g))  # noqa: E731  k < per_file
-        place = F.transform(found, lambda m, k: F.struct(m.alias("match"), at(k).alias("p")))
-        before = lambda p: F.substring(text, F.lit(1), p - 1)
-        many = r.join_lines > 1
-        line_of = lambda p: i + 1 + newlines(before(p)) if many else i + 1
-        column_of = lambda p: F.length(F.substring_index(F.concat(F.lit("\n"), before(p)), "\n", -1)) + 1 if many else p
-        spans = F.transform(place, lambda x: F.struct(line_of(x["p"]).cast("int").alias("line"), column_of(x["p"]).cast("int").alias("column"), x["match"].alias("match")))
-        return F.when((F.length(text) <= SPAN_CHARS * r.join_lines) & text.rlike(r.pattern), spans).otherwise(none)
-
-    found = F.flatten(F.transform("lines", one))
-    if r.join_lines > 1:
-        found = F.array_distinct(found)
-
-    def tested(m):
-        text = F.array_join(F.slice("lines", m["line"], newlines(m["match"]) + 1), " ")
-        keep = F.lit(True)
-        if r.exclude:
-            keep = keep & ~text.rlike(r.exclude)
-        if r.nearby:
-            pattern, lines_before, lines_after, must = r.nearby
-            first = F.greatest(m["line"] - lines_before, F.lit(1))
-            near = F.array_join(F.slice("lines", first, m["line"] + lines_after - first + 1), "\n").rlike(pattern)
-            keep = keep & (near if must else ~near)
-        return F.struct(F.lit(0).alias("rule"), m["line"].alias("line"), m["column"].alias("column"), m["match"].alias("match"), text.alias("text"), keep.alias("keep"))
-
-    return F.when(ok, F.transform(F.slice(found, 1, per_file), tested)).otherwise(F.array().cast(HIT))
+def quoted(s: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hits(k: int, r: Rule, per_file: int) -> str:
+    """The first ``per_file`` matches of rule number ``k`` in one file, as SQL text: it is parsed in one call, where thousands of column objects take seconds to build."""
+    p, many = quoted(r.pattern), r.join_lines > 1
+    ok = ([f"language IN ({', '.join(map(quoted, r.languages))})"] if r.languages else []) + ([f"path RLIKE {quoted(r.path)}"] if r.path else []) + ([f"NOT path RLIKE {quoted(r.path_not)}"] if r.path_not else [])
+    for pattern in (r.pattern, *(r.nearby[:1] if r.nearby and r.nearby[3] else ())):
+        if held := required_literals(pattern):
+            ok.append("(" + " OR ".join(f"contains(lowered, {quoted(x)})" for x in held) + ")")
+    newlines = lambda s: f"(length({s}) - length(replace({s}, '\\n', '')))"
+    # Of match n in the text t, which begins at line i (from 0): p, its place from 1.
+    sizes = lambda x, n: f"aggregate(slice({x}, 1, {n}), 0, (s, g) -> s + length(g))"
+    place = f"1 + {sizes(f'split(t, {p}, {per_file + 1})', 'n + 1')} + {sizes(f'regexp_extract_all(t, {p}, 0)', 'n')}"
+    before = "substring(t, 1, x.p - 1)"
+    line, column = (f"i + 1 + {newlines(before)}", f"length(substring_index(concat('\\n', {before}), '\\n', -1)) + 1") if many else ("i + 1", "x.p")
+    placed = f"transform(slice(regexp_extract_all(t, {p}, 0), 1, {per_file}), (m, n) -> named_struct('match', m, 'p', {place}))"
+    found = f"transform({placed}, x -> named_struct('line', CAST({line} AS INT), 'column', CAST({column} AS INT), 'match', x.match))"
+    none = "CAST(array() AS array<struct<line:int,column:int,match:string>>)"
+    one = f"CASE WHEN length(t) <= {SPAN_CHARS * r.join_lines} AND t RLIKE {p} THEN {found} ELSE {none} END"
+    if (held := required_literals(r.pattern)) and not many:  # one line at a time, before the pattern's engine is called
+        one = f"CASE WHEN {' OR '.join(f'contains(get(lowered_lines, i), {quoted(x)})' for x in held)} THEN {one} ELSE {none} END"
+    text = f"array_join(slice(lines, i + 1, {r.join_lines}), '\\n')"
+    each = f"transform(lines, (line, i) -> transform(array({text}), t -> {one})[0])" if many else f"transform(lines, (t, i) -> {one})"
+    all_found = f"array_distinct(flatten({each}))" if many else f"flatten({each})"
+    keep = [f"NOT text RLIKE {quoted(r.exclude)}"] if r.exclude else []
+    if r.nearby:
+        pattern, up, down, must = r.nearby
+        first = f"greatest(m.line - {up}, 1)"
+        keep.append(f"{'' if must else 'NOT '}array_join(slice(lines, {first}, m.line + {down} - {first} + 1), '\\n') RLIKE {quoted(pattern)}")
+    hit = f"named_struct('rule', {k}, 'line', m.line, 'column', m.column, 'match', m.match, 'text', text, 'keep', {' AND '.join(keep) or 'true'})"
+    tested = f"transform(slice({all_found}, 1, {per_file}), m -> transform(array(array_join(slice(lines, m.line, {newlines('m.match')} + 1), ' ')), text -> {hit})[0])"
+    return f"CASE WHEN {' AND '.join(ok) or 'true'} THEN {tested} ELSE CAST(array() AS {HIT}) END"
