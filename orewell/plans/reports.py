@@ -19,6 +19,7 @@ from ..operators.findings import canonical_cause, dedupe_key
 from ..operators.imports import module_edges
 from ..session import scratch
 from ..streaming import events as E
+from ..streaming import sinks
 from .audit import BASE, EDGES, _hits_sql, _plain, _quoted, _sql
 from .files import ENTRIES, any_of
 from .findings import CANON, CAUSES, HEALTH, KEY, scores_sql
@@ -249,6 +250,8 @@ def fn_osv_severity(t: Tables) -> DataFrame:
 
 # The event log
 
+_STATES = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.STATE_OF.items()) + " END"
+
 
 @query("SELECT scan_id, seq, type, agent_ord, round(progress, 6) AS progress FROM v_scan_events")
 def str_source(t: Tables) -> DataFrame:
@@ -260,6 +263,31 @@ def str_source(t: Tables) -> DataFrame:
     return t.spark.read.schema(E.EVENT).parquet(sink).withColumn("progress", F.round("progress", 6))
 
 
+def _log_stream(t: Tables, more: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+    """The log as JSON lines, read as a stream; a table's path and a checkpoint's."""
+    source, e = scratch(t.spark), t.v_scan_events.select(F.col("scan_id").cast("long"), F.col("seq").cast("long"), "type", F.col("agent_ord").cast("long"), "progress")
+    (e.unionByName(more) if more is not None else e).select(F.to_json(F.struct("*")).alias("value")).write.text(source)
+    return E.read_events(t.spark, source), scratch(t.spark), scratch(t.spark)
+
+
+@query("SELECT scan_id, seq, type, agent_ord, round(progress, 6) AS progress FROM v_scan_events")
+def sink_events_stream(t: Tables) -> DataFrame:
+    """The log, a fifth of it delivered twice, streamed into the sink that writes each event once, and read back."""
+    again = t.v_scan_events.where("event_id % 5 = 0").select(F.col("scan_id").cast("long"), F.col("seq").cast("long"), "type", F.col("agent_ord").cast("long"), "progress")
+    events, path, marks = _log_stream(t, again)
+    sinks.start(events, path, marks, keys=("scan_id", "seq")).awaitTermination()
+    return sinks.read(t.spark, path, E.EVENT).withColumn("progress", F.round("progress", 6))
+
+
+@query(f"""SELECT scan_id, max(seq) AS last_seq, coalesce(arg_max({_STATES}, seq) FILTER (WHERE {_STATES} IS NOT NULL), 'queued') AS state, round(coalesce(max(progress), 0), 6) AS progress,
+    count(*) FILTER (WHERE type = 'agent_finding') AS findings, count(*) FILTER (WHERE type = 'agent_error') AS errors FROM v_scan_events GROUP BY scan_id""")
+def str_fold_stream(t: Tables) -> DataFrame:
+    """The fold as a stream of states, the last one of each scan read back."""
+    events, path, marks = _log_stream(t)
+    sinks.start(E.fold_stream(events), path, marks, mode="update").awaitTermination()
+    return sinks.latest(t.spark, path, f"scan_id long, {E.STATE}", "scan_id").withColumn("progress", F.round("progress", 6))
+
+
 @query("WITH l AS (SELECT scan_id, min(seq) AS last FROM v_scan_events WHERE type = 'agent_error' GROUP BY scan_id) SELECT scan_id, seq, type FROM v_scan_events LEFT JOIN l USING (scan_id) WHERE last IS NULL OR seq <= last")
 def str_terminal(t: Tables) -> DataFrame:
     """An error is taken for the end, as the log has no events of a scan's end."""
