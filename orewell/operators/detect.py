@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import lookup
+from .graph import components_of, cycles
 from .search import Rule, search
 
 COLUMNS = ("scan_id", "rule_id", "severity", "confidence", "root_cause", "effort_minutes", "path", "line", "n")
@@ -104,44 +105,11 @@ def large_modules(sizes: DataFrame, loc: int = 500, exports: int = 12, high: int
     return finding(big, "arch.god-module", F.when(F.col("loc") > high, "high").otherwise("medium"), 0.85, "module-coupling", 150, F.col("path"), n=F.col("n_exports"))
 
 
-def _components(edges: dict[str, list[str]]) -> Iterator[list[str]]:
-    """Strongly connected components of two or more: nodes in the order in which a walk leaves them, then walks against the edges from the last one back."""
-    back: dict[str, list[str]] = {}
-    for a, to in edges.items():
-        for b in to:
-            back.setdefault(b, []).append(a)
-
-    def walk(start: str, nexts: dict[str, list[str]], seen: set[str]) -> list[str]:
-        left, stack = [], [(start, iter(nexts.get(start, ())))]
-        seen.add(start)
-        while stack:
-            node, more = stack[-1]
-            new = next((x for x in more if x not in seen), None)
-            if new is None:
-                left.append(node)
-                stack.pop()
-            else:
-                seen.add(new)
-                stack.append((new, iter(nexts.get(new, ()))))
-        return left
-
-    seen: set[str] = set()
-    order = [n for start in sorted(edges) if start not in seen for n in walk(start, edges, seen)]
-    seen = set()
-    for start in reversed(order):
-        if start not in seen:
-            met = walk(start, back, seen)
-            if len(met) > 1:
-                yield sorted(met)
-
-
 def scan_cycles(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """scan_id, cycle (its least path), path: strongly connected components in each scan's imports (scan_id, src, dst).
 
     A scan of at most ``local`` edges is one group; larger ones go through rounds of joins over the whole graph (``graph.cycles``).
     """
-    from .graph import cycles
-
     sizes = edges.groupBy("scan_id").agg(F.count("*").alias("n_edges"))
     sized = edges.where("src <> dst").join(sizes, "scan_id")
 
@@ -149,7 +117,7 @@ def scan_cycles(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
         out: dict[str, list[str]] = {}
         for a, b in zip(rows["src"], rows["dst"], strict=True):
             out.setdefault(a, []).append(b)
-        found = [(key[0], c[0], p) for c in _components(out) for p in c]
+        found = [(key[0], c[0], p) for c in components_of(out) for p in c]
         return pd.DataFrame(found, columns=["scan_id", "cycle", "path"])
 
     kind = edges.schema["scan_id"].dataType.simpleString()
@@ -157,10 +125,9 @@ def scan_cycles(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     large = sized.where(F.col("n_edges") > local)
     if large.isEmpty():
         return small
-    node = lambda c: F.concat_ws("\n", F.col("scan_id").cast("string"), c)
-    found = cycles(large.select(node("src").alias("src"), node("dst").alias("dst")))
-    part = lambda c, i: F.split(c, "\n")[i]
-    return small.unionByName(found.select(part("cycle", 0).cast(kind).alias("scan_id"), part("cycle", 1).alias("cycle"), part("node", 1).alias("path")))
+    node = lambda c: F.struct("scan_id", F.col(c).alias("path"))
+    found = cycles(large.select(node("src").alias("src"), node("dst").alias("dst")), finish=local)
+    return small.unionByName(found.select("node.scan_id", F.col("cycle.path").alias("cycle"), "node.path"))
 
 
 def circular(members: DataFrame, most: int = MAX_CYCLES) -> DataFrame:

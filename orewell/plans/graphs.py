@@ -62,7 +62,7 @@ def grf_risk(t: Tables) -> DataFrame:
     return G.component_risk(t.v_raw_findings, COMPONENTS)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM v_edges WHERE src <> dst), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+    SELECT node, cycle FROM (SELECT x.a AS node, min(x.b) AS cycle, count(*) AS n FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) WHERE n > 1""")
 def grf_cycles(t: Tables) -> DataFrame:
-    """No SQL: the closure of a large graph is too slow there; tests compare it with brute force."""
     return G.cycles(t.v_edges)
