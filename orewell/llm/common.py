@@ -98,15 +98,19 @@ def _starts(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
 
 def steps(texts: list[str | None], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of ``texts`` that hold at most ``limit`` characters, or one text."""
+    return runs([len(x or "") for x in texts], limit)
+
+
+def runs(sizes: list[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of ``sizes`` that sum up to at most ``limit``, or one of them."""
     i, held = 0, 0
-    for j, x in enumerate(texts):
-        n = len(x or "")
+    for j, n in enumerate(sizes):
         if j > i and held + n > limit:
             yield i, j
             i, held = j, 0
         held += n
-    if i < len(texts):
-        yield i, len(texts)
+    if i < len(sizes):
+        yield i, len(sizes)
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[list, list], Iterable[dict]]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:

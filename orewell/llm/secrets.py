@@ -24,7 +24,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, runs
 
 #: Order of kinds at equal starts: the base ones, then those that the structure confirms.
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "openssh_key")
@@ -306,20 +306,24 @@ def redact(text: str | None) -> str | None:
 def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The same rows and columns with secrets masked in ``text``; ``length``, if there, follows. No row is dropped; null stays null."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names, kinds = docs.columns, dict(docs.dtypes)
 
     def run(batches):
-        for b in batches:
-            old = b.column(names.index(text)).to_pylist()
-            new = [redact(x) for x in old]
-            cols = list(b.columns)
-            cols[names.index(text)] = pa.array(new, pa.string())
-            if length in names:
-                at = names.index(length)
-                same = b.column(at).to_pylist()
-                cols[at] = pa.array([s if x == y else len(y) for s, x, y in zip(same, old, new, strict=True)], b.column(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch.column(names.index(text))), 0).to_pylist()
+            for i, j in runs(sizes):  # a bounded number of characters at a time, or one text
+                b = batch.slice(i, j - i)
+                old = b.column(names.index(text)).to_pylist()
+                new = [redact(x) for x in old]
+                cols = list(b.columns)
+                cols[names.index(text)] = pa.array(new, pa.string())
+                if length in names:
+                    at = names.index(length)
+                    same = b.column(at).to_pylist()
+                    cols[at] = pa.array([s if x == y else len(y) for s, x, y in zip(same, old, new, strict=True)], b.column(at).type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     assert kinds[text] == "string"
     return docs.mapInArrow(run, docs.schema)
