@@ -21,7 +21,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 #: The same words for Spark's (Java) regular expressions.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one Python step works on at a time; a longer text is a step of its own.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
