@@ -192,10 +192,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (with ``length``, at most the capacity) with ``sequence_id`` and ``offset``. Sequences are gapless from 0."""
-    found = stage(found)
-    names, total = found.columns, found.count()
-    groups = max(16, -(-total // GROUP_ROWS))
-    rows = found.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(groups)))
+    names = found.columns
+    # Each row's own number is written with it, so that equal rows are dealt to all groups, and always to the same ones.
+    held = stage(found.withColumn("_number", F.monotonically_increasing_id()))
+    groups = max(16, -(-held.count() // GROUP_ROWS))
+    rows = held.withColumn("salt", F.pmod(F.xxhash64("_number"), F.lit(groups))).drop("_number")
     sizes = stage(rows.groupBy("length", "salt").agg(F.count("*").alias("held")))
     hist = np.zeros(capacity + 1, np.int64)
     for n, held in sizes.groupBy("length").agg(F.sum("held")).collect():  # a row for each length
