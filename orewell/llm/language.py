@@ -175,8 +175,10 @@ class Labeler:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from at most ``sample`` rows with a language outside the held-out fold."""
-    some = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    train = docs.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"]).select("lang", "text")
+    # Sampled are different (id, language, text): repeated rows take no place, and no id sends more than its texts.
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    some = rows.select("doc_id", "lang", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "h").limit(sample)
+    train = rows.join(F.broadcast(some), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         held: dict[str, Counter] = defaultdict(Counter)
