@@ -48,9 +48,15 @@ def str_pair_validation(t: Tables) -> DataFrame:
     return S.pairs(t.v_scan_events.withColumn("seq", F.col("seq").cast("long")), "agent_started", "agent_finding", "scan_id", "agent_ord")
 
 
-@query()
+#: Microseconds that fill one token of ``str_token_bucket``.
+TOKEN = 3_600_000_000
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    b AS (SELECT user_id, event_id, us, n, 2 * {TOKEN} AS held, true AS allowed FROM e WHERE n = 1
+        UNION ALL SELECT user_id, event_id, us, n, x - CASE WHEN x >= {TOKEN} THEN {TOKEN} ELSE 0 END, x >= {TOKEN} FROM (SELECT e.*, least(3 * {TOKEN}, held + e.us - b.us) AS x FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1) y)
+    SELECT user_id, event_id, allowed, CAST(held // {TOKEN} AS INT) AS remaining FROM b""")
 def str_token_bucket(t: Tables) -> DataFrame:
-    """No SQL: each bucket depends on the one before; tests compare it with brute force."""
     return S.token_bucket(t.events, "user_id", "ts", "event_id", capacity=3, per_second=1 / 3600)
 
 

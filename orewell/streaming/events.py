@@ -151,26 +151,27 @@ def pairs(events: DataFrame, start: str, end: str, *key: str) -> DataFrame:
 def token_bucket(events: DataFrame, key: str, at: str, order: str, capacity: float, per_second: float) -> DataFrame:
     """``key``, ``order``, ``allowed``, ``remaining``: a bucket for each key that refills steadily; an event takes one token or is refused.
 
-    Events are sorted inside partitions and pass one by one, with one bucket held at a time; no key's events are collected.
+    A bucket is counted in the microseconds that fill it, in whole numbers, so that results don't hang on rounding. Events are sorted inside
+    partitions and pass one by one, with one bucket held at a time; no key's events are collected. An event without a key or a time has no bucket.
     """
+    token = round(1e6 / per_second)
+    full = round(capacity * token)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tokens, then = None, capacity, 0.0
+        own, held, then = None, full, 0
         for b in batches:
             allowed, remaining = [], []
-            for k, s in zip(b[key], b["s"], strict=True):
-                if k != own:
-                    own, tokens, then = k, capacity, s
-                tokens, then = min(capacity, tokens + (s - then) * per_second), s
-                ok = tokens >= 1
-                tokens -= ok
-                allowed.append(bool(ok))
-                remaining.append(int(tokens))
+            for k, us in zip(b[key].tolist(), b["us"].tolist(), strict=True):
+                held = full if k != own else min(full, held + us - then)
+                own, then, ok = k, us, held >= token
+                held -= token * ok
+                allowed.append(ok)
+                remaining.append(held // token)
             yield pd.DataFrame({key: b[key], order: b[order], "allowed": allowed, "remaining": remaining})
 
-    rows = events.where(F.col(key).isNotNull()).select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).withColumn("s", F.col("us") / 1e6)
+    rows = events.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where(F.col(key).isNotNull() & F.col("us").isNotNull())
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, order)}
-    return rows.repartition(key).sortWithinPartitions(key, "us", order).drop("us").mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, remaining int")
+    return rows.repartition(key).sortWithinPartitions(key, "us", order).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, remaining int")
 
 
 #: How many rows of each kind a view keeps of a scan: the last ones.
