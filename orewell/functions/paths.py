@@ -105,6 +105,17 @@ def glob_to_regex(glob: str) -> str:
     return ("^" if anchored else "(?:^|/)") + body + "(?:/.*)?$"
 
 
+def glob_pattern(glob: Column) -> Column:
+    """``glob_to_regex`` for a column of globs. Wildcards are marked by control characters while all else is quoted."""
+    body = F.regexp_replace(F.regexp_replace(glob, "^/+|/+$", ""), r"\*\*(/?)", "\u0001$1")
+    body = F.translate(F.replace(body, F.lit("\u0001/"), F.lit("\u0002")), "*?", "\u0003\u0004")
+    body = F.regexp_replace(body, r"([^\p{L}\p{N}_/\-\x01-\x04])", r"\\$1")
+    for mark, means in (("\u0001", ".*"), ("\u0002", "(?:.*/)?"), ("\u0003", "[^/]*"), ("\u0004", "[^/]")):
+        body = F.replace(body, F.lit(mark), F.lit(means))
+    anchored = F.contains(F.regexp_replace(glob, "/+$", ""), F.lit("/"))
+    return F.concat(F.when(anchored, "^").otherwise("(?:^|/)"), body, F.lit("(?:/.*)?$"))
+
+
 def in_scope(rule_id: Column, scopes: Column) -> Column:
     """A scope names a rule, or a prefix of rules if it ends in a dot or a star; no scope means every rule."""
     prefix = lambda s: (s.endswith("*") & rule_id.startswith(F.regexp_replace(s, r"\*$", ""))) | (s.endswith(".") & rule_id.startswith(s))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import in_scope
+from ..functions.paths import glob_pattern, in_scope
 
 #: The word that begins a directive: ``audit-disable-next-line sec.*, bug.empty-catch``.
 WORD = "audit"
@@ -44,3 +44,56 @@ def parse_ignore(files: DataFrame, key: list[str]) -> DataFrame:
     negated = F.col("raw").startswith("!")
     parts = F.split(F.when(negated, F.regexp_replace("raw", r"^!\s*", "")).otherwise(F.col("raw")), r"\s+")
     return rows.select(*key, "no", parts[0].alias("glob"), F.slice(parts, 2, F.size(parts)).alias("scopes"), negated.alias("negated")).where("glob <> ''")
+
+
+#: Letters of a name's fixed beginning that are looked up.
+BEGINNING = 4
+
+
+def _slashless(glob: Column) -> Column:
+    return F.regexp_replace(glob, "^/+|/+$", "")
+
+
+def glob_key(glob: Column) -> Column:
+    """A fixed part that every path has which the glob matches, as ``kind:text``: the whole path, a name in it, a name's beginning, a leading folder, a name's ending; ``any:`` if there is none."""
+    parts = F.split(_slashless(glob), "/")
+    wild = lambda s: s.rlike("[*?]")
+    last, anchored = F.element_at(parts, -1), F.contains(F.regexp_replace(glob, "/+$", ""), F.lit("/"))
+    first_wild = F.array_position(F.transform(parts, wild), True)
+    names = F.filter(parts, lambda s: ~wild(s))
+    begins = F.regexp_extract(last, r"^[^*?]*", 0)
+    ends = F.regexp_extract(last, r"\.([^.*?]+)$", 1)
+    key = lambda kind, c: F.concat(F.lit(kind + ":"), c)
+    return (
+        F.when(F.exists(parts, lambda s: F.contains(s, F.lit("**")) & (s != "**")), F.lit("any:"))  # two stars inside a name may stand for parts of several
+        .when(anchored & (first_wild == 0), key("at", _slashless(glob)))
+        .when(~wild(last), key("name", last))
+        .when(F.length(begins) >= BEGINNING, key("begin", F.substring(begins, 1, BEGINNING)))
+        .when(anchored & (first_wild > 1), key("at", F.array_join(F.slice(parts, 1, F.greatest(first_wild - 1, F.lit(0)).cast("int")), "/")))
+        .when(ends != "", key("end", ends))
+        .when(F.size(names) > 0, key("name", names[0]))
+        .otherwise(F.lit("any:"))
+    )
+
+
+def path_keys(path: Column) -> Column:
+    """All keys under which a glob that matches the path may stand."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("at:"), F.array_join(F.slice(parts, 1, n), "/")))
+    names = F.transform(parts, lambda s: F.concat(F.lit("name:"), s))
+    begins = F.transform(parts, lambda s: F.concat(F.lit("begin:"), F.substring(s, 1, BEGINNING)))
+    ends = F.transform(F.filter(parts, lambda s: F.contains(s, F.lit("."))), lambda s: F.concat(F.lit("end:"), F.substring_index(s, ".", -1)))
+    return F.array_distinct(F.concat(folders, names, begins, ends, F.array(F.lit("any:"))))
+
+
+def by_globs(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``findings`` (scan_id, path, rule_id, ...) with ``suppressed`` by ``rules`` (scan_id, no, glob, scopes, negated): of a scan's rules that match path and rule the last decides, and a negated one brings back.
+
+    Each different path meets only the rules of its scan that share a fixed part with it, in an equi-join; then patterns and scopes are tested. Findings without a scan or a path are not suppressed.
+    """
+    keyed = rules.select("scan_id", "no", "scopes", "negated", glob_pattern(F.col("glob")).alias("pattern"), glob_key(F.col("glob")).alias("key"))
+    paths = findings.select("scan_id", "path").distinct().select("scan_id", "path", F.explode(path_keys(F.col("path"))).alias("key"))
+    met = paths.join(keyed, ["scan_id", "key"]).where(F.rlike("path", F.col("pattern"))).select("scan_id", "path", "no", "scopes", "negated")
+    own = findings.select("scan_id", "path", "rule_id").distinct().join(met, ["scan_id", "path"]).where(in_scope(F.col("rule_id"), F.col("scopes")))
+    verdict = own.groupBy("scan_id", "path", "rule_id").agg((~F.max_by("negated", "no")).alias("suppressed"))
+    return findings.join(verdict, ["scan_id", "path", "rule_id"], "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))

@@ -286,3 +286,19 @@ def join_suppress_inline(t: Tables) -> DataFrame:
 def fn_ignore_parse(t: Tables) -> DataFrame:
     """Each text read as an ignore file."""
     return X.parse_ignore(t.v_files, ["doc_id"]).select("doc_id", "no", "glob", F.size("scopes").cast("long").alias("scopes"), "negated")
+
+
+#: An ignore rule for each file, in the rules of its scan: by its path, its name with any ending, its name and one more letter below ``src``, or the beginning of names in a folder.
+GLOBS = """SELECT scan_id, doc_id AS no, CASE doc_id % 4 WHEN 0 THEN '/' || path WHEN 1 THEN 'f' || CAST(doc_id AS STRING) || '.*' WHEN 2 THEN 'src/**/f' || substr(CAST(doc_id AS STRING), 1, 3) || '?.ts' ELSE '**/workers/f' || substr(CAST(doc_id AS STRING), 1, 2) || '*' END AS g,
+    CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'sec.' ELSE 'bug.*' END AS scope, doc_id % 5 = 0 AS negated FROM v_files"""
+REPORTED = "SELECT scan_id, doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'sec.eval-usage' ELSE 'bug.empty-catch' END AS rule_id FROM v_files"
+
+
+@query(f"""WITH k AS (SELECT *, CASE no % 4 WHEN 0 THEN '^' || replace(substr(g, 2), '.', '[.]') || '(?:/.*)?$' WHEN 1 THEN '(?:^|/)f' || no || '[.][^/]*(?:/.*)?$' WHEN 2 THEN '^src/(?:.*/)?f' || substr(CAST(no AS VARCHAR), 1, 3) || '[^/][.]ts(?:/.*)?$' ELSE '^(?:.*/)?workers/f' || substr(CAST(no AS VARCHAR), 1, 2) || '[^/]*(?:/.*)?$' END AS pattern FROM ({GLOBS})),
+    h AS ({REPORTED}), v AS (SELECT h.doc_id, arg_max(NOT negated, no) AS suppressed FROM h JOIN k ON k.scan_id = h.scan_id AND regexp_matches(h.path, pattern) AND (scope = '' OR starts_with(rule_id, rtrim(scope, '*'))) GROUP BY h.doc_id)
+    SELECT h.scan_id, h.path, rule_id, coalesce(suppressed, false) AS suppressed FROM h LEFT JOIN v USING (doc_id)""")
+def join_suppress_rules(t: Tables) -> DataFrame:
+    """Ignore rules as a table, each scan with its own."""
+    t.v_files.createOrReplaceTempView("v_files")
+    rules = t.spark.sql(GLOBS).withColumnRenamed("g", "glob").withColumn("scopes", X.words_of(F.col("scope")))
+    return X.by_globs(t.spark.sql(REPORTED), rules).select("scan_id", "path", "rule_id", "suppressed")
