@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from .buckets import token_bucket  # noqa: F401  one of the log's operators
+
 EVENT = "scan_id long, seq long, type string, agent_ord long, progress double"
 COLUMNS = [c.split(" ")[0] for c in EVENT.split(", ")]
 #: An event ends its scan if its type is one of these.
@@ -148,32 +149,6 @@ def pairs(events: DataFrame, start: str, end: str, *key: str) -> DataFrame:
     return started.join(done, list(key), "left").select(*key, "started_seq", F.when(F.col("seq") > F.col("started_seq"), F.col("seq")).alias("completed_seq"))
 
 
-def token_bucket(events: DataFrame, key: str, at: str, order: str, capacity: float, per_second: float) -> DataFrame:
-    """``key``, ``order``, ``allowed``, ``remaining``: a bucket for each key that refills steadily; an event takes one token or is refused.
-
-    A bucket is counted in the microseconds that fill it, in whole numbers, so that results don't hang on rounding. Events are sorted inside
-    partitions and pass one by one, with one bucket held at a time; no key's events are collected. An event without a key or a time has no bucket.
-    """
-    token = round(1e6 / per_second)
-    full = round(capacity * token)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, then = None, full, 0
-        for b in batches:
-            allowed, remaining = [], []
-            for k, us in zip(b[key].tolist(), b["us"].tolist(), strict=True):
-                held = full if k != own else min(full, held + us - then)
-                own, then, ok = k, us, held >= token
-                held -= token * ok
-                allowed.append(ok)
-                remaining.append(held // token)
-            yield pd.DataFrame({key: b[key], order: b[order], "allowed": allowed, "remaining": remaining})
-
-    rows = events.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where(F.col(key).isNotNull() & F.col("us").isNotNull())
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, order)}
-    return rows.repartition(key).sortWithinPartitions(key, "us", order).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, remaining int")
-
-
 #: How many rows of each kind a view keeps of a scan: the last ones.
 TAILS = {"log": 220, "agent_finding": 120, "agent_progress": 40}
 def read_events(spark, path: str) -> DataFrame:
