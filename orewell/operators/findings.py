@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import SEVERITIES, clamp, lookup, severity_of, severity_ord
+from .rules import cwe
 
 # Issue classes by rule id, first match wins.
 ISSUE_CLASSES = (
@@ -124,6 +125,11 @@ class FindingQuery:
         return reduce(lambda a, b: a & b, [*live, *asked, *cause, *terms], F.lit(True))
 
 
+def haystack() -> Column:
+    """What a search looks through: title, path, rule, weakness and category of a finding."""
+    return F.concat_ws(" ", "title", "path", "rule_id", cwe(F.col("rule_id")), "category")
+
+
 def urgent() -> Column:
     return F.col("severity").isin("critical", "high") & F.col("validation").isin("confirmed", "likely")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code import trimmed
 from ..functions.scores import severity_of, severity_ord
-from ..functions.versions import clean_version, semver
+from ..functions.versions import clean_version, ranges_of, semver, version_number
 
 # Licences that need a look, and how much they weigh.
 LICENCE_RISK = {"AGPL-3.0": "high", "AGPL-3.0-only": "high", "AGPL-3.0-or-later": "high", "GPL-3.0": "medium", "GPL-2.0": "medium", "LGPL-3.0": "low", "SSPL-1.0": "high", "BUSL-1.1": "high", "CC-BY-NC-4.0": "high"}
@@ -21,10 +21,20 @@ def one_each(packages: DataFrame) -> DataFrame:
 
 
 def with_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Package x advisory where introduced <= version < fixed: an equi-join on ecosystem and name, and then the range. Spark broadcasts advisories while they are small."""
+    """Package x advisory where introduced <= version < fixed.
+
+    An advisory's range of versions is parted into aligned blocks, at most two of each level, and each different version of a package looks up the block it lies in, on the levels that the
+    package's advisories use: an equi-join, so that a version meets only advisories whose range holds it (or whose numbers it shares), however many its package has.
+    Rows without a name, a version or a range have no advisory.
+    """
+    key = ["ecosystem", "name"]
+    a = advisories.select(*key, "advisory_id", "severity", semver(F.col("introduced_in")).alias("low"), semver(F.col("fixed_in")).alias("high")).where(F.col("low") < F.col("high"))
+    a = a.withColumn("first", version_number(F.col("low"))).withColumn("last", version_number(F.col("high"))).withColumn("b", F.explode(ranges_of("first", "last"))).select(*key, "b.level", "b.block", "advisory_id", "severity", "low", "high")
     p = packages.withColumn("v", semver(clean_version(F.col("version"))))
-    a = advisories.select("ecosystem", "name", "advisory_id", "severity", semver(F.col("introduced_in")).alias("low"), semver(F.col("fixed_in")).alias("high"))
-    return p.join(a, ["ecosystem", "name"]).where((F.col("low") <= F.col("v")) & (F.col("v") < F.col("high")))
+    levels = a.groupBy(*key).agg(F.collect_set("level").alias("levels"))  # at most one for each bit
+    versions = p.where("v is not null").select(*key, "v").distinct().join(levels, key).withColumn("level", F.explode("levels")).withColumn("number", version_number(F.col("v")))
+    met = versions.withColumn("block", F.expr("shiftright(number, level)")).select(*key, "v", "level", "block").join(a, [*key, "level", "block"]).where((F.col("low") <= F.col("v")) & (F.col("v") < F.col("high")))
+    return p.join(met.drop("level", "block"), [*key, "v"])
 
 
 def report(packages: DataFrame, advisories: DataFrame) -> DataFrame:

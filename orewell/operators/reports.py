@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import severity_ord
+from ..functions.scores import lookup
+from .rules import cwe, owasp
 
 ADVISORY = "advisory_id long, ecosystem string, name string, introduced_in string, fixed_in string, severity string"
 # Committed coverage summaries, first come first; SARIF levels.
 COVERAGE_FILES = ("coverage/coverage-summary.json", "coverage-summary.json", ".nyc_output/coverage-summary.json")
+#: Numbers by which code hosts filter alerts.
+SECURITY_SEVERITY = {"critical": "9.5", "high": "7.5", "medium": "5.0", "low": "3.0", "info": "1.0"}
 SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
@@ -30,19 +33,33 @@ def documents(findings: DataFrame, *fields: str) -> DataFrame:
 
 
 def level(severity: Column) -> Column:
-    return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
+    return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").when(severity == "info", "none").otherwise("note")
+
+
+def rule_name(rule_id: Column) -> Column:
+    """A rule's id in camel case."""
+    words = F.split(rule_id, "[.-]")
+    return F.concat(words[0], F.array_join(F.transform(F.slice(words, 2, F.size(words)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), ""))
+
+
+def rule_row() -> Column:
+    """A rule of a SARIF document: what its first finding says, and the weakness that it reports."""
+    rule, severity = F.col("rule_id"), F.col("first.severity")
+    tags = F.array_compact(F.array(F.col("first.category"), cwe(rule), F.when(owasp(rule).isNotNull(), "owasp")))
+    held = F.struct(tags.alias("tags"), lookup(severity, SECURITY_SEVERITY).alias("security-severity"), cwe(rule).alias("cwe"), owasp(rule).alias("owasp"))
+    return F.struct(rule.alias("id"), rule_name(rule).alias("name"), F.struct(F.col("first.title").alias("text")).alias("shortDescription"), F.struct(level(severity).alias("level")).alias("defaultConfiguration"), held.alias("properties"))
 
 
 def sarif(findings: DataFrame, tool: str = "code audit") -> DataFrame:
-    """scan_id, document: SARIF 2.1.0 of each scan's findings (raw_id, rule_id, severity, title, path, start_line, other_places as array<struct<path,start_line>>, id, validation).
+    """scan_id, document: SARIF 2.1.0 of each scan's findings (raw_id, rule_id, category, severity, title, path, start_line, other_places as array<struct<path,start_line>>, id, validation).
 
     Rules stand in the order of first appearance with the first finding's text; dismissed findings are left out.
     """
     live = findings.where("validation <> 'dismissed'")
     place = lambda p, n: F.struct(F.struct(F.struct(p.alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.lit(1), n).alias("startLine")).alias("region")).alias("physicalLocation"))
-    rules = live.groupBy("scan_id", "rule_id").agg(F.min("raw_id").alias("first"), F.min_by("title", "raw_id").alias("text"), F.min(severity_ord(F.col("severity"))).alias("sev"))
-    listed = rules.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("first", "rule_id", "text"))).alias("rules"))
-    ids = F.transform("rules", lambda r: r["rule_id"])
+    rules = live.groupBy("scan_id", "rule_id").agg(F.min(F.struct("raw_id", "title", "severity", "category")).alias("first"))
+    listed = rules.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("first.raw_id", rule_row().alias("rule")))).alias("rules"))
+    ids = F.transform("rules", lambda r: r["rule"]["id"])
     result = F.struct(
         "raw_id", F.col("rule_id").alias("ruleId"), level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place(F.col("path"), F.col("start_line"))).alias("locations"),
         F.transform("other_places", lambda x, i: F.struct((i + 1).alias("id"), place(x["path"], x["start_line"])["physicalLocation"].alias("physicalLocation"))).alias("relatedLocations"), F.struct(F.col("id").alias("findingId")).alias("partialFingerprints"),
@@ -50,7 +67,7 @@ def sarif(findings: DataFrame, tool: str = "code audit") -> DataFrame:
     results = live.groupBy("scan_id").agg(F.sort_array(F.collect_list(result)).alias("results"))
     made = results.join(listed, "scan_id")
     numbered = F.transform("results", lambda r: F.struct(r["ruleId"].alias("ruleId"), (F.array_position(ids, r["ruleId"]) - 1).alias("ruleIndex"), r["level"].alias("level"), r["message"].alias("message"), r["locations"].alias("locations"), r["relatedLocations"].alias("relatedLocations"), r["partialFingerprints"].alias("partialFingerprints")))
-    driver = F.struct(F.lit(tool).alias("name"), F.transform("rules", lambda r: F.struct(r["rule_id"].alias("id"), F.struct(r["text"].alias("text")).alias("shortDescription"))).alias("rules"))
+    driver = F.struct(F.lit(tool).alias("name"), F.transform("rules", lambda r: r["rule"]).alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), numbered.alias("results"))
     return made.select("scan_id", F.to_json(F.struct(F.lit(SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 

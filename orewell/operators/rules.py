@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+
 from ..functions.paths import BACKEND, JS, PYTHON
+from ..functions.scores import lookup
 from .search import Rule
 
 # Fixed values from here on.
@@ -55,3 +58,34 @@ AI_CODE = [
     Rule("ai.magic-config", r"""https?:\/\/(?:localhost|127\.0\.0\.1|\w+\.(?:com|io|dev|net))[^\s'"`)]*""", "ai-code", "low", 0.6, "hardcoded-configuration", 20, path_not=r"(?i)(test|spec|example|readme|doc)", exclude=r"(?i)(?:@|https?:\/\/(?:github|cwe\.mitre|owasp|developer\.mozilla|www\.w3))", per_scan=20),
 ]
 SHIPPED = [*SECURITY, *RELIABILITY, *PERFORMANCE, *AI_CODE]
+
+# The weakness that a rule reports (CWE) and its class (OWASP top ten), if it has one.
+INJECTION, ACCESS, CONFIGURATION = "A03:2021 Injection", "A01:2021 Broken Access Control", "A05:2021 Security Misconfiguration"
+WEAKNESSES: dict[str, tuple[str, str | None]] = {
+    "sec.sql-injection": ("CWE-89", INJECTION),
+    "sec.command-injection": ("CWE-78", INJECTION),
+    "sec.eval-usage": ("CWE-95", INJECTION),
+    "sec.ssrf": ("CWE-918", "A10:2021 Server-Side Request Forgery"),
+    "sec.path-traversal": ("CWE-22", ACCESS),
+    "sec.xss-dangerous-html": ("CWE-79", INJECTION),
+    "sec.weak-hash": ("CWE-327", None),
+    "sec.insecure-random": ("CWE-338", None),
+    "sec.jwt-unverified": ("CWE-347", "A07:2021 Identification and Authentication Failures"),
+    "sec.tls-verification-disabled": ("CWE-295", None),
+    "sec.cors-wildcard": ("CWE-942", CONFIGURATION),
+    "sec.insecure-cookie": ("CWE-1004", None),
+    "sec.open-redirect": ("CWE-601", None),
+    "sec.unsafe-deserialization": ("CWE-502", "A08:2021 Software and Data Integrity Failures"),
+    "sec.debug-enabled": ("CWE-489", CONFIGURATION),
+    "sec.mass-assignment": ("CWE-915", ACCESS),
+    "sec.unvalidated-input": ("CWE-20", None),
+    "dep.known-vulnerability": ("CWE-1395", "A06:2021 Vulnerable and Outdated Components"),
+}
+
+
+def cwe(rule_id: Column) -> Column:
+    return lookup(rule_id, {r: w for r, (w, _) in WEAKNESSES.items()})
+
+
+def owasp(rule_id: Column) -> Column:
+    return lookup(rule_id, {r: c for r, (_, c) in WEAKNESSES.items() if c})

@@ -13,6 +13,7 @@ from ..operators import imports as I
 from ..operators import rules as R
 from ..operators import structure as S
 from ..operators import suppress as X
+from ..operators import table_functions as T
 from ..operators import validate as V
 from .files import ENTRIES, NORM, SOURCE, TRIMMED, any_of
 from .graphs import COMP, COMPONENTS
@@ -268,6 +269,19 @@ def ext_detector(t: Tables) -> DataFrame:
     return D.run(DETECTORS, t).groupBy("detector").agg(F.count("*").alias("findings"))
 
 
+#: Letters of a line from which the detector of ``ext_detector_sql`` reports it.
+LONG_LINE = 60
+
+
+@query(f"""WITH l AS (SELECT scan_id, path, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS t FROM v_files)
+    SELECT scan_id, severity, count(*) AS findings, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS letters FROM (SELECT scan_id, line, length(t) AS n, CASE WHEN ends_with(path, '.md') THEN 'low' ELSE 'medium' END AS severity FROM l WHERE length(t) >= {LONG_LINE}) GROUP BY ALL""")
+def ext_detector_sql(t: Tables) -> DataFrame:
+    """A detector that a caller writes, registered as a table function and called from SQL over whole texts."""
+    t.v_files.select("scan_id", "path", "content").createOrReplaceTempView("files_to_audit")
+    call = T.found_by(T.register_detector(t.spark, "find_long_lines", T.long_lines(LONG_LINE)), "files_to_audit")
+    return t.spark.sql(f"SELECT scan_id, severity, count(*) AS findings, sum(line) AS lines, sum(n) AS letters FROM ({call}) GROUP BY scan_id, severity")
+
+
 # Suppressions in comments
 
 DIRECTIVES = """y AS (SELECT scan_id, path, CASE WHEN contains(line, 'audit-disable-file') THEN 0 WHEN contains(line, 'audit-disable-next-line') THEN line_no + 1 ELSE line_no END AS line, regexp_extract(line, 'audit-disable-(?:file|next-line|line)\\s+([\\w.*,\\s-]+)', 1) AS scope FROM l WHERE contains(line, 'audit-disable'))"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import findings as O
+from ..operators import rules as R
 from ..operators import scoring as P
 from .registry import Tables, query
 
@@ -35,6 +36,10 @@ def scores_sql(findings: str, scans: str, keys: str) -> str:
     cs AS (SELECT {keys}, category, finding_count, points, CAST(least(100, greatest(0, floor(100 - ({DAMP.format('points')}) + 0.5))) AS BIGINT) AS score FROM cs0)"""
 
 
+CWE = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{w}'" for r, (w, _) in R.WEAKNESSES.items()) + " END"
+OWASP = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{c}'" for r, (_, c) in R.WEAKNESSES.items() if c) + " END"
+
+
 @query("SELECT raw_id, scan_id, severity, confidence FROM v_raw_findings WHERE validation <> 'dismissed'")
 def flt_live(t: Tables) -> DataFrame:
     return t.v_raw_findings.where("validation <> 'dismissed'").select("raw_id", "scan_id", "severity", "confidence")
@@ -52,6 +57,14 @@ def flt_findings(t: Tables) -> DataFrame:
     return t.v_raw_findings.where(q.column(F.concat_ws(" ", "title", "path", "rule_id"))).select("raw_id", "scan_id", "category")
 
 
+@query(f"""WITH h AS (SELECT *, lower(concat_ws(' ', title, path, rule_id, {CWE}, category)) AS hay FROM v_raw_findings WHERE validation <> 'dismissed')
+    SELECT raw_id, scan_id, {CWE} AS cwe, {OWASP} AS owasp FROM h WHERE contains(hay, 'cwe-9') AND contains(hay, 'sec')""")
+def flt_weakness(t: Tables) -> DataFrame:
+    """A search by weakness: the haystack holds it."""
+    rule = F.col("rule_id")
+    return t.v_raw_findings.where(O.FindingQuery("CWE-9 sec").column(O.haystack())).select("raw_id", "scan_id", R.cwe(rule).alias("cwe"), R.owasp(rule).alias("owasp"))
+
+
 @query("""SELECT scan_id, count(*) FILTER (WHERE severity IN ('critical', 'high') AND validation <> 'dismissed') AS blocking,
     count(*) FILTER (WHERE severity IN ('critical', 'high') AND validation <> 'dismissed') = 0 AS passed FROM v_raw_findings GROUP BY scan_id""")
 def flt_gate(t: Tables) -> DataFrame:
@@ -353,14 +366,14 @@ def agg_signal_sum(t: Tables) -> DataFrame:
 
 @query("""WITH r AS (SELECT rule_id, min(raw_id) AS first FROM v_raw_findings WHERE validation <> 'dismissed' GROUP BY rule_id),
     i AS (SELECT rule_id, row_number() OVER (ORDER BY first) - 1 AS rule_index FROM r)
-    SELECT f.raw_id, CAST(rule_index AS INT) AS rule_index, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, path AS uri, greatest(1, start_line) AS region
+    SELECT f.raw_id, CAST(rule_index AS INT) AS rule_index, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'info' THEN 'none' ELSE 'note' END AS level, path AS uri, greatest(1, start_line) AS region
     FROM v_raw_findings f JOIN i USING (rule_id) WHERE validation <> 'dismissed'""")
 def sink_sarif(t: Tables) -> DataFrame:
     """The flat part of the SARIF export: rules in the order of first appearance, levels, places; dismissed findings are left out."""
     live = t.v_raw_findings.where("validation <> 'dismissed'")
     rules = live.groupBy("rule_id").agg(F.min("raw_id").alias("first"))  # a row for each rule
     rules = rules.withColumn("rule_index", F.row_number().over(Window.orderBy("first")) - 1)
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").when(F.col("severity") == "info", "none").otherwise("note")
     return live.join(F.broadcast(rules), "rule_id").select("raw_id", "rule_index", level.alias("level"), F.col("path").alias("uri"), F.greatest(F.lit(1), "start_line").alias("region"))
 
 

@@ -22,7 +22,7 @@ from ..streaming import events as E
 from ..streaming import sinks
 from .audit import BASE, EDGES, _hits_sql, _plain, _quoted, _sql
 from .files import ENTRIES, any_of
-from .findings import CANON, CAUSES, HEALTH, KEY, scores_sql
+from .findings import CANON, CAUSES, CWE, HEALTH, KEY, OWASP, scores_sql
 from .graphs import COMP, COMPONENTS
 from .packages import PACK, REGISTRY, _registry
 from .registry import Tables, query
@@ -208,7 +208,7 @@ def sink_events(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH l AS (SELECT *, {KEY} AS k FROM v_raw_findings WHERE validation <> 'dismissed'), f AS (SELECT scan_id, rule_id, min(raw_id) AS first FROM l GROUP BY ALL), x AS (SELECT scan_id, rule_id, row_number() OVER (PARTITION BY scan_id ORDER BY first) AS i FROM f)
-    SELECT l.scan_id, '2.1.0' AS version, max(i) AS rules, count(*) AS results, arg_min(l.rule_id, raw_id) AS first_rule, arg_min(CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END, raw_id) AS first_level,
+    SELECT l.scan_id, '2.1.0' AS version, max(i) AS rules, count(*) AS results, arg_min(l.rule_id, raw_id) AS first_rule, arg_min(CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'info' THEN 'none' ELSE 'note' END, raw_id) AS first_level,
     CAST(sum(i - 1) AS BIGINT) AS index_sum, count(*) FILTER (WHERE start_line % 2 = 0) AS related FROM l JOIN x ON x.scan_id = l.scan_id AND x.rule_id = l.rule_id GROUP BY l.scan_id""")
 def sink_sarif_document(t: Tables) -> DataFrame:
     """The SARIF document of each scan, opened again."""
@@ -221,6 +221,17 @@ def sink_sarif_document(t: Tables) -> DataFrame:
                     F.aggregate(results, F.lit(0).cast("long"), lambda s, x: s + x["ruleIndex"]).alias("index_sum"), F.size(F.flatten(F.transform(results, lambda x: x["relatedLocations"]))).cast("long").alias("related"))
 
 
+@query(f"""WITH r AS (SELECT scan_id, rule_id, arg_min(severity, raw_id) AS severity, arg_min(category, raw_id) AS category, arg_min(title, raw_id) AS title FROM v_raw_findings WHERE validation <> 'dismissed' GROUP BY ALL), w AS (SELECT *, {CWE} AS cwe, {OWASP} AS owasp FROM r)
+    SELECT scan_id, rule_id, array_to_string(list_transform(regexp_split_to_array(rule_id, '[.-]'), lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(x[1]) || x[2:] END), '') AS name, title, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'info' THEN 'none' ELSE 'note' END AS level,
+    concat_ws(',', category, cwe, CASE WHEN owasp IS NOT NULL THEN 'owasp' END) AS tags, CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '7.5' WHEN 'medium' THEN '5.0' WHEN 'low' THEN '3.0' ELSE '1.0' END AS security_severity, cwe, owasp FROM w""")
+def sink_sarif_rules(t: Tables) -> DataFrame:
+    """The rules of each scan's SARIF document, opened again: name, level, tags and weakness."""
+    f = t.v_raw_findings.withColumn("other_places", F.array().cast("array<struct<path:string,start_line:int>>")).withColumn("id", F.col("raw_id").cast("string"))
+    kind = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string,shortDescription:struct<text:string>,defaultConfiguration:struct<level:string>,properties:struct<tags:array<string>,`security-severity`:string,cwe:string,owasp:string>>>>>>>"
+    r = O.sarif(f).select("scan_id", F.explode(F.from_json("document", kind)["runs"][0]["tool"]["driver"]["rules"]).alias("r"))
+    return r.select("scan_id", F.col("r.id").alias("rule_id"), "r.name", F.col("r.shortDescription.text").alias("title"), "r.defaultConfiguration.level", F.array_join("r.properties.tags", ",").alias("tags"), F.col("r.properties.`security-severity`").alias("security_severity"), "r.properties.cwe", "r.properties.owasp")
+
+
 @query("SELECT advisory_id, ecosystem, name, severity FROM v_advisories")
 def src_advisories(t: Tables) -> DataFrame:
     """The advisory table read from JSON lines."""
