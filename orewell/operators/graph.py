@@ -104,7 +104,7 @@ def scan_reachable(modules: DataFrame, edges: DataFrame, local: int = 200_000) -
         while front:
             front = {b for a in front for b in out.get(a, ())} - met
             met = met | front
-        return pd.DataFrame({"scan_id": key[0], "path": sorted(met)}, columns=["scan_id", "path"])
+        return pd.DataFrame([(key[0], p) for p in sorted(met)], columns=["scan_id", "path"])
 
     kind = modules.schema["scan_id"].dataType.simpleString()
     sized = starts.unionByName(edges.select("scan_id", "src", "dst")).join(sizes, "scan_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))

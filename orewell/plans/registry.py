@@ -104,7 +104,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import audit, files, findings, graphs, history, packages, reports, rule_cases, streams, structure  # noqa: F401  each registers its queries
+    from . import audit, files, findings, graphs, history, packages, reports, rule_cases, streams, structure, whole  # noqa: F401  each registers its queries
 
 
 _load()
