@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -79,3 +82,7 @@ def test_the_audit_finds_what_each_detector_finds(spark):
 def test_an_empty_table(spark):
     a = audit(spark.createDataFrame([], "scan_id long, path string, content string"))
     assert a.report().collect() == [] and a.findings.collect() == []
+
+
+def test_the_module_can_be_imported_first():
+    subprocess.run([sys.executable, "-c", "import orewell.plans.whole"], check=True, cwd=Path(__file__).parents[1], timeout=60)
