@@ -104,3 +104,22 @@ def test_a_broken_and_restarted_stream_writes_each_event_once(spark, tmp_path, m
     assert len(got) == len(set(got)) == len(rows) and set(got) == {r[:2] for r in rows}
     assert sum(r["rows"] for r in sinks.committed(spark, out).collect()) == len(rows)
     assert sinks.read(spark, str(tmp_path / "none"), E.EVENT).count() == 0
+
+
+def test_scans_are_replaced_in_few_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from orewell.operators import reports as O
+
+    path, n = str(tmp_path / "scans"), 500
+    rows = spark.range(2 * n).select((F.col("id") % n).alias("scan_id"), F.col("id").alias("raw_id"), F.lit("first").alias("text"))
+    rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast("long").alias("scan_id"), F.lit(-1).cast("long").alias("raw_id"), F.lit("first").alias("text")))
+    O.replace_scans(rows, path)
+    again = rows.where("scan_id % 5 = 0 and raw_id < 500").withColumn("text", F.lit("second"))
+    for _ in range(2):
+        O.replace_scans(again, path)
+    want = sorted([(-1, None, "first")] + [(i, i % n, "second" if i % 5 == 0 else "first") for i in range(2 * n) if i % 5 or i < n])
+    assert sorted((r.raw_id, r.scan_id, r.text) for r in O.read_scans(spark, path, rows).collect()) == want
+    assert len(list((tmp_path / "scans").rglob("*.parquet"))) <= 3 * 8  # not a file for each scan
+    O.compact_scans(spark, path, rows, str(tmp_path / "compact"))
+    assert sorted((r.raw_id, r.scan_id, r.text) for r in O.read_scans(spark, str(tmp_path / "compact"), rows).collect()) == want
