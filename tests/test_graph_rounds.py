@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from orewell.operators import detect as D
 from orewell.operators import graph as G
 
@@ -58,3 +60,19 @@ def test_reachable_by_rounds_and_in_one_task(spark):
     modules = spark.createDataFrame([(i, i in (3, 8, 59)) for i in range(60)], "node long, is_entry boolean")
     found = rows(G.reachable(modules, edges))
     assert found == rows(G.reachable(modules, edges, finish=0)) and len(found) > 10
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], G.staged
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(G, "staged", recorded)
+    edges = spark.createDataFrame([(i, (i * 7 + 3) % 60) for i in range(60)] + [(i, i - 1) for i in range(60) if i % 10], "src long, dst long")
+    modules = spark.range(60).select(F.col("id").alias("node"), (F.col("id") % 30 == 0).alias("is_entry"))
+    few, many = G.cycles(edges).collect(), G.cycles(edges, finish=3).collect()
+    assert sorted(few) == sorted(many)
+    assert sorted(G.reachable(modules, edges, finish=3).select("node").collect()) == sorted(G.reachable(modules, edges).select("node").collect())
+    assert len(plans) > 10 and not [x for x in plans if "Broadcast" in x]
