@@ -219,3 +219,15 @@ def test_the_stream_ends_with_the_terminal_event_as_the_batch_does(spark, tmp_pa
     q.awaitTermination()
     got = {(r.scan_id, r.seq) for r in spark.read.schema(E.EVENT).parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.scan_id, r.seq) for r in E.until_terminal(log).collect()} == {(1, n) for n in range(1, 5)} | {(2, n) for n in range(1, 9)}
+
+
+def test_steps_of_one_query_read_written_code(spark, monkeypatch):
+    from orewell.plans import audit, reports
+    from orewell.plans.registry import Tables
+
+    made = []
+    monkeypatch.setattr(Tables, "v_code", property(lambda t: made.append(1) or t.__getattr__("v_code")), raising=False)
+    for query in (audit.agg_metrics, audit.det_maint, reports.val_debate):
+        made.clear()
+        plan = query(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+        assert made == [1] and "documents" not in plan and "regexp_replace(substr" not in plan
